@@ -1 +1,23 @@
 """A PySpark-native engine for versioned tensor data and training corpora."""
+
+from __future__ import annotations
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Give the executors this package, once an application: Spark's own file server hands it to whichever executor needs it."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ckptlake-")) / "ckptlake.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(target))
