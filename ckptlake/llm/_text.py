@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ckptlake import ship
+
 SLICE_BYTES = 1 << 20
 
 #: Bytes that part words: blanks only, or everything in ASCII that is neither a letter nor a digit.
@@ -117,4 +119,5 @@ def select(docs, id_col: str = "doc_id", text_col: str = "text"):
     """The two columns an operator reads, under fixed names: other columns, whatever their names, play no part."""
     from pyspark.sql import functions as F
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -177,6 +177,7 @@ def items_digest(items) -> str:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least_items: int = 2, width: int = 8, block_bytes: int = 48 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which fewer than least_items items occur."""
+    _text.ship(docs.sparkSession)
     blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text, width, block_bytes)]
 
     def run(batches):

@@ -99,9 +99,11 @@ def _fit(y: np.ndarray, flat: np.ndarray, of: np.ndarray, grades: int, vocabular
     on = np.bincount(inverse, bad[of], len(names))
     off = np.bincount(inverse, ~bad[of], len(names))
     odds = np.log((on + 0.5) / (bad.sum() + 1)) - np.log((off + 0.5) / ((~bad).sum() + 1))
-    z = odds / np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))
-    able = np.flatnonzero((on >= max(3, share * bad.sum())) & (z > 3) & (odds > 1))
-    chosen = np.sort(able[np.argsort(-z[able], kind="stable")][:vocabulary])
+    rate, total = bad.mean(), on + off  # how far the counts are from those of a word that says nothing (likelihood ratio)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(on > 0, on * np.log(on / (total * rate)), 0) + np.where(off > 0, off * np.log(off / (total * (1 - rate))), 0))
+    able = np.flatnonzero((on >= max(3, share * bad.sum())) & (ratio > 15) & (odds > 1))
+    chosen = np.sort(able[np.argsort(-ratio[able], kind="stable")][:vocabulary])
     if not len(chosen):
         return _fit(np.zeros_like(y), flat, of, grades, vocabulary, share, l2, steps)
     place = np.full(len(names), -1)
@@ -160,6 +162,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 def reject(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose P(grade > 0) is below threshold."""
     schema = docs.schema
+    _text.ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
