@@ -29,6 +29,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ckptlake.llm import html_text
+
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ckptlake.llm import decontaminate
 
@@ -44,6 +50,12 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(_read(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ckptlake.llm import licenses
+
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ckptlake.llm import toxicity
 
@@ -55,5 +67,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op5_decontaminate, op7_fingerprint, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op4_html, op5_decontaminate, op7_fingerprint, op9_licenses, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
