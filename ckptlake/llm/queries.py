@@ -44,6 +44,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), (n_items >= 2).alias("contaminated"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ckptlake.llm import lm_score
+    from ckptlake.llm.toxicity import held_out
+
+    return lm_score.score(_read(spark, sf_dir, "documents"), held_out(remainder=1))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ckptlake.llm import fingerprint
 
@@ -67,5 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op4_html, op5_decontaminate, op7_fingerprint, op9_licenses, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op4_html, op5_decontaminate, op6_lm, op7_fingerprint, op9_licenses, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
