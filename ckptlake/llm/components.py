@@ -1,0 +1,30 @@
+"""Connected components of an edge table, by label propagation with jumps.
+
+Each round gives every node the least label among its own, its neighbours' and
+its label's label; rounds are written to the shared folder. The number of rounds
+grows with the logarithm of the longest path, and no node's neighbours are ever
+gathered: labels meet in partial aggregates.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ckptlake.llm.store import Scratch
+
+
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of every node of edges (a, b): the least node of its component."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = scratch.save(both.where("a <> b").distinct(), "links")
+    labels = scratch.save(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    while True:
+        near = links.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        after = scratch.save(step.join(jump, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        moved = after.where("old <> label").limit(1).count()
+        labels = after.select("node", "label")
+        if not moved:
+            return labels

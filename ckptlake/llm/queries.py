@@ -29,6 +29,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ckptlake.llm import minhash
+
+    found = minhash.groups(_read(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ckptlake.llm import html_text
 
@@ -74,5 +81,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op4_html, op5_decontaminate, op6_lm, op7_fingerprint, op9_licenses, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_html, op5_decontaminate, op6_lm, op7_fingerprint, op9_licenses, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
