@@ -64,6 +64,13 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(_read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ckptlake.llm import suffix_dedup
+
+    found = suffix_dedup.repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ckptlake.llm import licenses
 
@@ -81,5 +88,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_html, op5_decontaminate, op6_lm, op7_fingerprint, op9_licenses, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_html, op5_decontaminate, op6_lm, op7_fingerprint, op8_suffix_dedup, op9_licenses, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
