@@ -170,10 +170,12 @@ class _Page:
         self.fresh: list[bool] = []
         self.gap = 0
         self.blank = True
+        self.raw = False  # the line began in preformatted text
 
     def break_line(self, gap: int = 0) -> None:
-        text = "".join(self.now).strip(" ")
-        self.now, self.blank = [], True
+        text = "".join(self.now)
+        text = text.rstrip(" ") if self.raw else text.strip(" ")
+        self.now, self.blank, self.raw = [], True, False
         if text:
             self.put(text)
         self.gap = max(self.gap, gap)
@@ -210,9 +212,10 @@ def render(root: Node, deep: int = 0) -> list[str]:
             for k, part in enumerate(parts):
                 if k:
                     line = "".join(page.now)
-                    page.now, page.blank = [], True
+                    page.now, page.blank, page.raw = [], True, False
                     page.put(line)
                 if part:
+                    page.raw |= not page.now
                     page.now.append(part)
                     page.blank = False
             continue

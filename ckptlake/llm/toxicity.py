@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, grades: i
 def _fit(y: np.ndarray, flat: np.ndarray, of: np.ndarray, grades: int, vocabulary: int, share: float, l2: float, steps: int) -> OrdinalModel:
     bad = y > 0
     if not bad.any() or bad.all():
-        prior = (bad.sum() + 0.5) / (len(y) + 1)
+        prior = (bad.sum() + 0.5) / (len(y) + 2)
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.log((1 - prior) / prior) + np.arange(grades - 1.0))
     names, inverse = np.unique(flat, return_inverse=True)
     on = np.bincount(inverse, bad[of], len(names))
