@@ -22,9 +22,11 @@ rows give equal rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ from pyspark.sql import DataFrame
 from ckptlake.llm import _text
 
 WINDOW = 16
+#: Fixed value: how the tokenizer's file writes its pre-tokens; and the same for words of ASCII and Latin-1 letters, which normalisation only lower-cases.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LATIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 OUTPUTS = {
     "n_tokens": "long",
     "ids": "array<int>",
@@ -86,35 +92,45 @@ class ChunkCodec:
         for token, i in vocab.items():
             self.names[i] = token.encode() + b" "
         self.digits = [b"%d " % i for i in range(len(self.names))]
-        self.part, self.separator = None, b""
-        for c in map(chr, range(0xA1, 0x3000)):  # any sign or number of one token, which words seldom have
-            if not c.isalpha() and c.isprintable() and len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1:
-                self.part, self.separator = ids[0], c.encode()
-                break
+        self.closes = np.array([n.endswith(b"</w> ") for n in self.names])
+        self.latin = PATTERN in spec  # else words are encoded whole
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = self.encoded = self.reused = 0
 
+    def _encode_many(self, some: list[str]) -> list[list[int]]:
+        """The ids of each of some pre-tokens: each ends with a token that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
+        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist() if len(ids) else []
+        if len(ends) != len(some):
+            return [self.tokenizer.encode(s, add_special_tokens=False).ids for s in some]
+        ids = ids.tolist()
+        return [ids[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _learn(self, words: set[bytes]) -> None:
-        """Encode words not seen yet: many at once, parted by a word of one token that none of them contains."""
-        new = [w for w in words if w not in self.words]
-        plain = [w for w in new if self.part and self.separator not in w and b"<|" not in w]
-        single = [w for w in new if not self.part or self.separator in w or b"<|" in w]
-        for a in range(0, len(plain), 2048):
-            some = plain[a : a + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([(b" " + self.separator + b" ").join(some).decode()], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(ids == self.part)
-            if len(ends) != len(some) - 1:
-                single += some
+        """Encode words not seen yet: plain Latin ones by their pre-tokens, which many words share, others whole."""
+        plain, need = [], set()
+        for w in words:
+            if w in self.words:
                 continue
-            ids, at = ids.tolist(), 0
-            for w, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
-                own = ids[at:end]
-                at = end + 1
+            s = w.decode()
+            if self.latin and _LATIN.fullmatch(s) and "<|" not in s:
+                parts = _PARTS.findall(s.lower())
+                plain.append((w, parts))
+                need.update(parts)
+            else:
+                own = self.tokenizer.encode(s, add_special_tokens=False).ids
                 self.words[w] = b"".join([self.digits[i] for i in own]), b"".join([self.names[i] for i in own])
-        for w in single:
-            own = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-            self.words[w] = b"".join([self.digits[i] for i in own]), b"".join([self.names[i] for i in own])
+        if len(self.pieces) > self.most_words:
+            self.pieces.clear()
+        new = [s for s in need if s not in self.pieces]
+        for a in range(0, len(new), 2048):
+            for s, own in zip(new[a : a + 2048], self._encode_many(new[a : a + 2048]), strict=True):
+                self.pieces[s] = b"".join([self.digits[i] for i in own]), b"".join([self.names[i] for i in own])
+        for w, parts in plain:
+            got = [self.pieces[s] for s in parts]
+            self.words[w] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]))
 
     def run(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[bytes, bytes]]:
         """For each row: its ids in decimal, each with a blank after it; its tokens, likewise."""
@@ -213,6 +229,13 @@ def code(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("n_to
 
     def run(batches):
         own = codec(spec.value, bits)
+        gc.disable()  # what the codec keeps has no cycles, and millions of entries make collections slow
+        try:
+            yield from coded(own, batches)
+        finally:
+            gc.enable()
+
+    def coded(own, batches):
         for batch in batches:
             for at, to, buf, offsets in _text.slices(batch.column("text")):
                 got = own.run(buf, offsets)
