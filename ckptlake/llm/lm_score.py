@@ -114,14 +114,14 @@ def _pack(columns: dict) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-_REPLY = "kind int, grp long, docs binary, sums binary, known binary, ids binary, lengths binary, train binary, hash long, count long"
+_REPLY = "kind int, grp long, docs binary, sums binary, known binary, ids binary, lengths binary, train binary, count long"
 
 
 def _reduce(best: int):
     """A shard: counts of its words over training documents; each group's sums; its most frequent words; its totals."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("kind", "grp", "docs", "sums", "known", "ids", "lengths", "train", "hash", "count")}
+        out = {k: [] for k in ("kind", "grp", "docs", "sums", "known", "ids", "lengths", "train", "count")}
 
         def put(**row):
             for k, v in out.items():
@@ -149,14 +149,14 @@ def _reduce(best: int):
             known = np.bincount(place, (counts[which] > 0) * times, len(there)).astype(np.int32)
             put(kind=0, grp=g["grp"], docs=there.astype(np.int32).tobytes(), sums=sums.tobytes(), known=known.tobytes(), ids=g["ids"], lengths=g["lengths"], train=g["train"] if g["ids"] else b"")
         put(kind=1, grp=int((counts > 0).sum()), count=int(counts.sum()))
-        for k in np.argsort(-counts, kind="stable")[:best]:
-            if counts[k] and all_names[k] != END:
-                put(kind=2, hash=int(all_names[k].view(np.int64)), count=int(counts[k]))
+        words = np.flatnonzero((counts > 0) & (all_names != END))
+        words = words[np.lexsort((all_names[words].view(np.int64), -counts[words]))[:best]]
+        put(kind=2, grp=groups[0]["shard"], docs=all_names[words].tobytes(), sums=counts[words].tobytes())
         for k in np.flatnonzero(all_names == END):
             put(kind=3, count=int(counts[k]))
         return pa.Table.from_pydict(out, schema)
 
-    schema = pa.schema([("kind", pa.int32()), ("grp", pa.int64()), *((c, pa.binary()) for c in ("docs", "sums", "known", "ids", "lengths", "train")), ("hash", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("grp", pa.int64()), *((c, pa.binary()) for c in ("docs", "sums", "known", "ids", "lengths", "train")), ("count", pa.int64())])
     return run
 
 
@@ -220,6 +220,18 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int64()), "weight": pa.array([weight]), "flat": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
 
+def _best(most: int):
+    """The most frequent words of several lists."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table["docs"]])
+        counts = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in table["sums"]])
+        order = np.lexsort((names.view(np.int64), -counts))[:most]
+        return pa.table({"grp": table["grp"].slice(0, 1), "docs": pa.array([names[order].tobytes()], pa.binary()), "sums": pa.array([counts[order].tobytes()], pa.binary())})
+
+    return run
+
+
 def _average(trained: DataFrame, parts: int, fan: int = 32) -> np.ndarray | None:
     """The mean of the partitions' weights, in a tree of which no node has more than fan children."""
     while parts > 1:
@@ -262,8 +274,13 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     totals = replies.where("kind = 1").agg(F.sum("count").alias("n"), F.sum("grp").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"] or 0
     ends = replies.where("kind = 3").agg(F.sum("count")).first()[0] or 0
-    top = replies.where("kind = 2").select("hash", "count").orderBy(F.desc("count"), "hash").limit(vocabulary - 1).collect()
-    words = Vocabulary(np.array([r["hash"] for r in top] + [END.view(np.int64)], np.int64).view(np.uint64), np.array([r["count"] for r in top] + [ends], float), vocabulary)
+    top, left = replies.where("kind = 2").select("grp", "docs", "sums"), shards
+    while left > 1:
+        left = -(-left // 32)
+        top = top.withColumn("grp", F.expr("grp div 32")).groupBy("grp").applyInArrow(_best(vocabulary - 1), "grp long, docs binary, sums binary")
+    top = top.collect()
+    names = np.concatenate([*(np.frombuffer(r["docs"], np.uint64) for r in top), [END]])
+    words = Vocabulary(names, np.concatenate([*(np.frombuffer(r["sums"], np.int64) for r in top), [ends]]).astype(float), vocabulary)
     rest, rest_words = n - int(words.counts.sum()), max(0, v - int((words.counts > 0).sum()))
     model = gru.Model.new(words.counts, rest, hidden)
     learn = base.where("not held").select("text")
