@@ -99,7 +99,7 @@ class Group:
         self.starts = np.flatnonzero(closes) - self.first + 1
         self.row = row[self.first]
         self.sample = where[self.first]
-        self.hash = grams[self.sample] if n else np.zeros(0, np.uint64)
+        self.hash = _text.mix(grams[self.sample] * np.uint64(0xDA942042E4DD58B5)) if n else np.zeros(0, np.uint64)  # samples have small hashes; these are even again
         self.names, self.of = np.unique(self.hash, return_inverse=True)
 
     def counted(self) -> np.ndarray:
