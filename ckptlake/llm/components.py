@@ -20,11 +20,10 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     links = scratch.save(both.where("a <> b").distinct(), "links")
     labels = scratch.save(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = links.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        after = scratch.save(step.join(jump, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        moved = after.where("old <> label").limit(1).count()
+        own = labels.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        reach = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))).unionByName(own)
+        near = reach.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
+        after = scratch.save(near, "labels")
         labels = after.select("node", "label")
-        if not moved:
+        if not after.where("old <> label").limit(1).count():
             return labels

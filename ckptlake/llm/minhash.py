@@ -160,7 +160,7 @@ def _against_centre(percent: int):
 
 
 def _against_block(percent: int):
-    """Rows in the order of (centre, block, part, whether of the block): links between block and members in other components, one for each block row and component."""
+    """Rows in the order of (centre, block, part, whether of the block): links between block and members, as pairs of the components they are in so far."""
 
     def run(batches):
         key, block, told = None, [], set()
@@ -184,10 +184,10 @@ def _against_block(percent: int):
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 shared = np.bincount(owner[at], minlength=len(block))
                 for k in np.flatnonzero(_similar(shared, len(mine), sizes, percent)):
-                    if block[k][1] != label and (k, label) not in told:
-                        told.add((k, label))
-                        a.append(block[k][0])
-                        b.append(node)
+                    if block[k][1] != label and (block[k][1], label) not in told:
+                        told.add((block[k][1], label))
+                        a.append(block[k][1])
+                        b.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
@@ -211,11 +211,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     shared = scratch.save(entries.join(sizes, "bucket"), "shared")
     popular = shared.groupBy("node").agg(F.sum("size").alias("popular"))
     centres = shared.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("popular", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    stars = scratch.save(shared.join(centres, "bucket").select("bucket", "node", "n", "centre", "centre_n"), "stars")
+    pairs = scratch.save(shared.join(centres, "bucket").select("node", "n", "centre", "centre_n").distinct(), "pairs")
     alike = (F.col("node") != F.col("centre")) & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
-    edges = scratch.save(stars.where(alike).select("node", "centre").distinct(), "candidates")
+    edges = pairs.where(alike).select("node", "centre")
 
-    used = stars.groupBy("node").agg(F.lit(1).alias("one")).join(nodes.where("first_id is not null"), "node").select(F.col("first_id").alias("doc_id")).distinct()
+    used = pairs.groupBy("node").agg(F.lit(1).alias("one")).join(nodes.where("first_id is not null"), "node").select(F.col("first_id").alias("doc_id")).distinct()
     count = used.count()
     picked = base.join(F.broadcast(used) if count <= BROADCAST_IDS else used, "doc_id")
     sets = scratch.save(picked.select("text").mapInArrow(_sets(width), "node binary, members binary").dropDuplicates(["node"]), "sets")
@@ -228,22 +228,20 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     links = scratch.save(meet.mapInArrow(_against_centre(percent), "a binary, b binary"), "links")
 
     labels = connected(links, scratch)
-    named = stars.select("bucket", "node", "centre").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("size")).where("mixed and size > 2").select("bucket")
-    around = named.join(mixed, "bucket").select("centre", "node", "label").distinct()
-    own = around.where("centre = node").select("centre", F.col("label").alias("centre_label"))
-    around = scratch.save(around.join(own, "centre").withColumn("left_out", F.col("label") != F.col("centre_label")), "around")
-    spread = around.groupBy("centre").agg(F.ceil(F.sum(F.col("left_out").cast("int")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("parts")).where("blocks > 0")
+    of_centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
+    around = pairs.where("node <> centre").select("node", "centre").join(labels, "node", "left").join(of_centre, "centre", "left")
+    around = around.select("centre", "node", F.coalesce("label", "node").alias("label"), (F.coalesce("label", "node") != F.coalesce("centre_label", "centre")).alias("left_out"))
+    spread = around.groupBy("centre").agg(F.ceil(F.sum(F.col("left_out").cast("int")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("parts"), F.count("*").alias("around")).where("blocks > 0 and around > 1")
     around = around.join(spread, "centre").join(sets, "node")
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     inside = around.where("left_out").select("centre", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("inside"), "node", "label", "members")
-    outside = around.where("node <> centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("inside"), "node", "label", "members")
+    outside = around.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("inside"), "node", "label", "members")
     held = inside.unionByName(outside).repartition(parts, "centre", "block", "part").sortWithinPartitions("centre", "block", "part", F.col("inside").desc())
     more = scratch.save(held.mapInArrow(_against_block(percent), "a binary, b binary"), "more")
-    if more.limit(1).count():
-        labels = connected(links.unionByName(more), scratch)
-
     of = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if more.limit(1).count():
+        further = connected(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        of = of.join(further, "label", "left").withColumn("label", F.coalesce("root", "label"))
     least = of.groupBy("label").agg(F.min("first_id").alias("component_id"))
     found = of.join(least, "label").select("node", "component_id")
     return signed.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
