@@ -1,20 +1,306 @@
-"""The library's queries over the driver's tables, and the same in SQL."""
+"""The library's queries over the driver's tables, and the same in SQL.
+
+Roles of the tables: ``documents`` are objects, ``events`` a commit log in the
+order of event_id, ``lineitem`` chunks of rows, ``orders`` snapshots to compare
+and merge, ``embeddings`` the rows of a weight matrix, ``part`` and the geography
+layers and links. Each query calls the operators that the checkpoint path uses.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ckptlake import ship
+from ckptlake.functions import bits, exprs
+from ckptlake.operators import dag, relational
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _round(c, places: int = 6):
+    return F.round(c, places)
+
+
+@query("SELECT sha256(text) AS object, count(*) AS n_refs, min(doc_id) AS first_ref FROM documents GROUP BY 1")
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects by content hash: how often each occurs and where first."""
-    docs = _read(spark, sf_dir, "documents")
-    return docs.groupBy(F.sha2(F.col("text"), 256).alias("object")).agg(F.count("*").alias("n_refs"), F.min("doc_id").alias("first_doc"))
+    return relational.content_dedup(_read(spark, sf_dir, "documents"), F.col("text"), F.col("doc_id"))
+
+
+@query("""SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS original_bytes, CAST(sum(CASE WHEN rn = 1 THEN strlen(text) ELSE 0 END) AS BIGINT) AS stored_bytes,
+  round(sum(CASE WHEN rn = 1 THEN strlen(text) ELSE 0 END) / sum(strlen(text)), 6) AS ratio
+  FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents) GROUP BY source""")
+def encode_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("object"))
+    first = docs.groupBy("object").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    marked = docs.join(first, "doc_id", "left")
+    stored = F.sum(F.when(F.col("first"), F.col("size")).otherwise(0))
+    return marked.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("original_bytes"), stored.alias("stored_bytes"), _round(F.try_divide(stored, F.sum("size"))).alias("ratio"))
+
+
+@query("""SELECT event_id // 128 AS chunk_no, count(*) AS n_rows, min(event_id) AS row_start, max(event_id) AS row_end,
+  sha256(string_agg(CAST(user_id AS VARCHAR) || ':' || event_type, '|' ORDER BY event_id)) AS content_hash FROM events GROUP BY 1""")
+def chunk_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").withColumn("chunk_no", F.floor(F.col("event_id") / 128))
+    return relational.chunk_hash(rows, ["chunk_no"], F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type"), "event_id")
+
+
+@query("""SELECT l_returnflag, count(*) AS n, CAST(sum(CASE WHEN z >= 255 THEN 1 ELSE 0 END) AS BIGINT) AS n_escaped, round(avg(CASE WHEN z >= 255 THEN 1.0 ELSE 0.0 END), 6) AS escape_rate, CAST(sum(z) AS BIGINT) AS zigzag_sum,
+  bool_and(((l_suppkey + (((z >> 1) # CASE WHEN z & 1 = 1 THEN 65535 ELSE 0 END))) & 65535) = (l_partkey & 65535)) AS exact
+  FROM (SELECT *, xor((d * 2) & 65535, CASE WHEN d >= 32768 THEN 65535 ELSE 0 END) AS z FROM (SELECT *, (l_partkey - l_suppkey) & 65535 AS d FROM lineitem)) GROUP BY 1""".replace("(z >> 1) # CASE WHEN z & 1 = 1 THEN 65535 ELSE 0 END", "xor(z >> 1, CASE WHEN z & 1 = 1 THEN 65535 ELSE 0 END)"))
+def zigzag_escape_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", "l_suppkey")
+    z = li.withColumn("z", exprs.zigzag16(exprs.delta16(F.col("l_partkey"), F.col("l_suppkey"))))
+    back = exprs.add16(F.col("l_suppkey"), exprs.unzigzag16(F.col("z"))) == F.col("l_partkey").bitwiseAND(exprs.MASK)
+    return z.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(exprs.escapes(F.col("z"))).alias("n_escaped"), _round(F.avg(exprs.escapes(F.col("z")).cast("double"))).alias("escape_rate"), F.sum("z").alias("zigzag_sum"), F.bool_and(back).alias("exact"))
+
+
+_SNAPSHOTS = """o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 11 <> 0),
+  t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 2 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 13 <> 0),
+  b AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 17 <> 0)"""
+_PLAN = f"""{_SNAPSHOTS}, p AS (SELECT coalesce(o.k, t.k) AS k, o.v AS o, t.v AS t, b.v AS b,
+  CASE WHEN o.k IS NULL THEN 'only-theirs' WHEN t.k IS NULL THEN 'only-ours' WHEN o.v = t.v THEN 'unchanged' WHEN o.v IS NOT DISTINCT FROM b.v THEN 'take-theirs' WHEN t.v IS NOT DISTINCT FROM b.v THEN 'take-ours' ELSE 'averaged' END AS action
+  FROM o FULL JOIN t ON o.k = t.k LEFT JOIN b ON b.k = coalesce(o.k, t.k))"""
+
+
+def _snapshots(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders")
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    return (
+        orders.where(k % 11 != 0).select(k.alias("k"), F.when(k % 5 == 0, v + 1).otherwise(v).alias("v")),
+        orders.where(k % 13 != 0).select(k.alias("k"), F.when(k % 7 == 0, v + 2).otherwise(v).alias("v")),
+        orders.where(k % 17 != 0).select(k.alias("k"), v.alias("v")),
+    )
+
+
+@query(f"WITH {_PLAN} SELECT action, count(*) AS n FROM p GROUP BY action")
+def merge_plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.merge_plan(*_snapshots(spark, sf_dir), "k", "v").groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_PLAN} SELECT k, action, round(CASE WHEN action IN ('only-theirs', 'take-theirs') THEN t WHEN action <> 'averaged' THEN o WHEN k % 2 = 0 THEN o ELSE (o + t) / 2 END, 4) AS merged FROM p""")
+def merge_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = relational.merge_plan(*_snapshots(spark, sf_dir), "k", "v")
+    return relational.merge_average(plan, "o", "t", F.col("k") % 2 == 0).select("k", "action", _round("merged", 4).alias("merged"))
+
+
+@query(f"""WITH {_SNAPSHOTS}, c AS (SELECT coalesce(o.k, t.k) AS k, CASE WHEN o.k IS NULL THEN 'missing_left' WHEN t.k IS NULL THEN 'missing_right' WHEN o.v IS NOT DISTINCT FROM t.v THEN 'equal' ELSE 'mismatched' END AS status, abs(o.v - t.v) AS diff FROM o FULL JOIN t ON o.k = t.k)
+  SELECT status, count(*) AS n, round(max(diff), 4) AS max_diff, round(sum(diff) / count(diff), 4) AS mean_diff FROM c GROUP BY status""")
+def compare_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ours, theirs, _ = _snapshots(spark, sf_dir)
+    return relational.compare_sources(ours, theirs, "k", "v").groupBy("status").agg(F.count("*").alias("n"), _round(F.max("diff"), 4).alias("max_diff"), _round(F.avg("diff"), 4).alias("mean_diff"))
+
+
+def _edges(events: DataFrame) -> DataFrame:
+    """A commit graph: the one before, and every tenth commit also merges the seventh before."""
+    i = F.col("event_id")
+    first = events.where(i > 0).select(i.alias("child"), (i - 1).alias("parent"), F.lit(0).alias("ord"))
+    return first.unionByName(events.where((i % 10 == 0) & (i >= 7)).select(i.alias("child"), (i - 7).alias("parent"), F.lit(1).alias("ord")))
+
+
+_EDGES = "e AS (SELECT event_id AS child, event_id - 1 AS parent FROM events WHERE event_id > 0 UNION ALL SELECT event_id, event_id - 7 FROM events WHERE event_id % 10 = 0 AND event_id >= 7)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, a AS (SELECT CAST(60 AS BIGINT) AS node, 0 AS depth UNION SELECT e.parent, a.depth + 1 FROM a JOIN e ON e.child = a.node) SELECT node, min(depth) AS depth FROM a GROUP BY node")
+def ancestors_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(_read(spark, sf_dir, "events"))
+    return dag.ancestors(edges, spark.createDataFrame([(60,)], "node long")).select("node", "depth")
+
+
+@query("""WITH RECURSIVE c AS (SELECT CAST(90 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT node - 1, depth + 1 FROM c WHERE depth < 24 AND node > 0)
+  SELECT c.depth, c.node, e.event_type AS label FROM c LEFT JOIN events e ON e.event_id = c.node""")
+def log_first_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events")
+    log = dag.first_parents(_edges(events), 90, 25)
+    return log.join(events.select(F.col("event_id").alias("node"), F.col("event_type").alias("label")), "node", "left").select("depth", "node", "label")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, f AS (SELECT child, parent FROM e WHERE NOT (child = 48 AND parent = 47)),
+  a AS (SELECT CAST(47 AS BIGINT) AS node, 0 AS depth UNION SELECT f.parent, a.depth + 1 FROM a JOIN f ON f.child = a.node),
+  b AS (SELECT CAST(50 AS BIGINT) AS node, 0 AS depth UNION SELECT f.parent, b.depth + 1 FROM b JOIN f ON f.child = b.node)
+  SELECT node, x.d AS ours_depth, y.d AS theirs_depth FROM (SELECT node, min(depth) AS d FROM a GROUP BY node) x JOIN (SELECT node, min(depth) AS d FROM b GROUP BY node) y USING (node) ORDER BY x.d + y.d, node LIMIT 1""")
+def merge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(_read(spark, sf_dir, "events")).where("not (child = 48 and parent = 47)")
+    return dag.merge_base(edges, 47, 50)
+
+
+@query("""SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id, star ORDER BY event_id) - 1 AS BIGINT) AS since_full, anchor FROM (
+  SELECT event_id, user_id, sum(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) OVER w AS star, last_value(CASE WHEN event_id % 4 = 0 THEN event_id END IGNORE NULLS) OVER w AS anchor
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))""")
+def star_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.star_anchors(_read(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", F.col("event_id") % 4 == 0).select("event_id", "user_id", "since_full", "anchor")
+
+
+@query("""WITH s AS (SELECT o_orderkey // 100 AS chunk_no, min(o_orderkey) AS row_start, max(o_orderkey) AS row_end, count(*) AS n_rows FROM orders GROUP BY 1)
+  SELECT l_orderkey, count(*) AS n_refs, any_value(chunk_no) AS chunk_no, any_value(row_start) AS row_start, any_value(n_rows) AS n_rows FROM lineitem JOIN s ON l_orderkey BETWEEN row_start AND row_end GROUP BY 1""")
+def interval_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _read(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 100).alias("chunk_no")).agg(F.min("o_orderkey").alias("row_start"), F.max("o_orderkey").alias("row_end"), F.count("*").alias("n_rows"))
+    wanted = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_refs"))
+    return relational.interval_gather(wanted, "l_orderkey", chunks, 100).where("l_orderkey between row_start and row_end").select("l_orderkey", "n_refs", "chunk_no", "row_start", "n_rows")
+
+
+@query("""SELECT vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: (CAST(CAST(embedding[i] AS BIT) AS INTEGER)::BIGINT & 4294967295) * i)) AS BIGINT) AS checksum,
+  CAST(CAST(embedding[1] AS BIT) AS INTEGER)::BIGINT & 4294967295 AS first_bits FROM embeddings""")
+def float_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", bits.float_bits("embedding").alias("b"))
+    total = F.aggregate(F.transform("b", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("vec_id", total.alias("checksum"), F.element_at("b", 1).alias("first_bits"))
+
+
+@query("""SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 40 AND b.vec_id < 40""")
+def group_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of one permutation group of 40 units; a group's size is a layer's width."""
+    v = _read(spark, sf_dir, "embeddings").where("vec_id < 40")
+    a, b = v.select(F.col("vec_id").alias("i"), "label", F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("j"), "label", F.col("embedding").alias("y"))
+    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return a.join(b, "label").select("i", "j", _round(dot).alias("score"))
+
+
+@query("""SELECT l_linestatus, CAST(sum(n) AS BIGINT) AS total, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT l_linestatus, l_partkey & 255 AS b, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY l_linestatus) AS t FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_partkey").bitwiseAND(255).alias("b"))
+    return relational.entropy(rows, ["l_linestatus"], "b").select("l_linestatus", "total", _round("entropy").alias("entropy"))
+
+
+@query("""WITH p AS (SELECT event_type AS b, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS a FROM events), n AS (SELECT a, b, count(*)::DOUBLE AS n FROM p WHERE a IS NOT NULL GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS m FROM n)
+  SELECT CAST(sum(n) AS BIGINT) AS n_pairs, round(sum(n * log2(m / n)) / sum(n), 6) AS entropy FROM m""")
+def cond_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.conditional_entropy(_read(spark, sf_dir, "events"), "user_id", "event_id", "event_type").select("n_pairs", _round("entropy").alias("entropy"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, sign(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) AS g FROM events), m AS (SELECT *, CASE WHEN g = lag(g) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS x FROM s WHERE g IS NOT NULL),
+  r AS (SELECT user_id, run, count(*) AS n FROM (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM m) GROUP BY 1, 2)
+  SELECT user_id, count(*) AS n_runs, round(avg(n), 6) AS mean_length, round(avg(CASE WHEN n >= 8 THEN 1.0 ELSE 0.0 END), 6) AS long_share FROM r GROUP BY 1""")
+def sign_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = relational.sign_runs(_read(spark, sf_dir, "events"), "user_id", "event_id", "value")
+    return runs.select("user_id", "n_runs", _round("mean_length").alias("mean_length"), _round("long_share").alias("long_share"))
+
+
+@query("""WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(CAST(x AS BIT) AS INTEGER)::BIGINT & 4294967295) AS b FROM embeddings),
+  p AS (SELECT label, unnest(list_transform(list_zip(b, pb), lambda z: (z[1] - z[2]) & 4294967295)) AS d FROM (SELECT *, lag(b) OVER (PARTITION BY label ORDER BY vec_id) AS pb FROM b) WHERE pb IS NOT NULL)
+  SELECT label, count(*) AS n, CAST(sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero, median(least(d, 4294967296 - d)) AS median_step, round(avg(CASE WHEN least(d, 4294967296 - d) < 8388608 THEN 1.0 ELSE 0.0 END), 6) AS small_share FROM p GROUP BY 1""")
+def bit_delta_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "label", bits.float_bits("embedding").alias("b"))
+    before = F.lag("b").over(Window.partitionBy("label").orderBy("vec_id"))
+    d = rows.withColumn("pb", before).where("pb is not null").select("label", F.explode(F.zip_with("b", "pb", lambda x, y: (x - y).bitwiseAND(4294967295))).alias("d"))
+    step = F.least(F.col("d"), F.lit(4294967296) - F.col("d"))
+    return d.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n_zero"), F.median(step).alias("median_step"), _round(F.avg((step < 8388608).cast("double"))).alias("small_share"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, 16 + event_id % 7 AS size FROM events), s AS (SELECT *, CAST(sum(size) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) - size + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS BIGINT) AS b FROM l)
+  SELECT user_id, event_id, b AS seg_begin, expected FROM (SELECT *, lag(b + size, 1, 0) OVER (PARTITION BY user_id ORDER BY b, b + size) AS expected FROM s) WHERE expected <> b""")
+def tiling_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = _read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7 + 16).alias("size"))
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    laid = sized.withColumn("seg_begin", F.sum("size").over(w) - F.col("size") + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)).withColumn("seg_end", F.col("seg_begin") + F.col("size"))
+    return relational.tiling_violations(laid, "user_id", "seg_begin", "seg_end").select("user_id", "event_id", "seg_begin", "expected")
+
+
+@query("""SELECT l_shipmode_like AS grp, CAST(sum(n) AS BIGINT) AS n_refs, CAST(sum(s) AS BIGINT) AS original_bytes, count(*) AS n_objects, CAST(sum(o) AS BIGINT) AS stored_bytes FROM (SELECT l_returnflag AS l_shipmode_like, l_partkey AS obj, count(*) AS n, sum(l_linenumber * 100) AS s, min(l_linenumber * 100) AS o FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def checkpoint_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_partkey").alias("obj"), (F.col("l_linenumber") * 100).cast("long").alias("size"))
+    return relational.checkpoint_sizes(refs, "grp", "obj", "size")
+
+
+@query("""WITH p AS (SELECT label, embedding::DOUBLE[] AS t, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings), x AS (SELECT label, unnest(list_zip(t, b)) AS z FROM p WHERE b IS NOT NULL)
+  SELECT label, round(sqrt(sum((z[1] - z[2]) * (z[1] - z[2]))) / sqrt(sum(z[1] * z[1])), 6) AS residual FROM x GROUP BY 1""")
+def residual_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _read(spark, sf_dir, "embeddings")
+    pairs = v.select("label", F.col("embedding").alias("t"), F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id")).alias("b")).where("b is not null")
+    return relational.residual_norms(pairs, "label", "t", "b").select("label", _round("residual").alias("residual"))
+
+
+@query("""WITH a AS (SELECT p_brand AS grp, p_size::DOUBLE AS pre, (p_partkey % 50)::DOUBLE AS post, 10.0::DOUBLE AS n FROM part), s AS (SELECT grp, CASE WHEN pre > 0 AND post > 0 THEN n * greatest(-8, least(8, ln(post / pre))) WHEN pre > 0 AND post = 0 THEN -8 * n WHEN pre = 0 AND post > 0 THEN 8 * n END AS d FROM a)
+  SELECT grp, round(coalesce(sum(d), 0), 6) AS bit_delta, count(d) AS usable, count(d) > 0 AND coalesce(sum(d), 0) < -1e-6 AS helped FROM s GROUP BY 1""")
+def group_bit_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("pre"), (F.col("p_partkey") % 50).cast("double").alias("post"), F.lit(10.0).alias("n"))
+    return relational.group_bit_delta(a, "grp", "pre", "post", "n").select("grp", _round("bit_delta").alias("bit_delta"), "usable", "helped")
+
+
+@query("SELECT CASE WHEN l_discount * 10 >= 0.9 OR l_linenumber >= 3 THEN 'anchor' ELSE 'delta' END AS decision, l_linenumber AS depth, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def anchor_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("ratio"), F.col("l_linenumber").alias("depth"))
+    return li.select(exprs.anchor_decision(F.col("ratio"), F.col("depth")).alias("decision"), "depth").groupBy("decision", "depth").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT vec_id AS target_idx, (vec_id * 7) % n AS base_idx FROM embeddings, n)
+  SELECT target_idx, base_idx, label, round(list_dot_product(flatten(list_transform([3, 1, 0, 2], lambda k: embedding[k * 16 + 1:k * 16 + 16]))::DOUBLE[], list_transform(range(1, 65), lambda i: i::DOUBLE)), 6) AS weighted FROM p JOIN embeddings ON vec_id = base_idx""")
+def permuted_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _read(spark, sf_dir, "embeddings")
+    n = v.count()
+    perm = v.select(F.col("vec_id").alias("target_idx"), (F.col("vec_id") * 7 % n).alias("base_idx"))
+    got = relational.permuted_gather(v, "vec_id", perm, ["label", "embedding"])
+    row = exprs.col_permute(F.col("embedding"), F.array(*map(F.lit, (3, 1, 0, 2))), 16)
+    total = F.aggregate(F.transform(row, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return got.select("target_idx", "base_idx", "label", _round(total).alias("weighted"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), f AS (SELECT vec_id AS idx, (vec_id * 7) % n AS val FROM embeddings, n), s AS (SELECT vec_id AS idx, (vec_id * 3 + 1) % n AS val FROM embeddings, n), c AS (SELECT s.idx, f.val FROM s JOIN f ON f.idx = s.val)
+  SELECT count(*) AS n, count(DISTINCT val) AS n_distinct, CAST(sum(idx * val) AS BIGINT) AS moment, CAST(sum(CASE WHEN idx = val THEN 1 ELSE 0 END) AS BIGINT) AS fixed, (SELECT count(*) FROM (SELECT val FROM c GROUP BY val HAVING count(*) > 1)) AS problems FROM c""")
+def permutation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"))
+    n = v.count()
+    both = relational.compose(v.withColumn("val", F.col("idx") * 7 % n), v.withColumn("val", (F.col("idx") * 3 + 1) % n))
+    out = both.agg(F.count("*").alias("n"), F.count_distinct("val").alias("n_distinct"), F.sum(F.col("idx") * F.col("val")).alias("moment"), F.count_if(F.col("idx") == F.col("val")).alias("fixed"))
+    return out.join(relational.permutation_problems(both, n).agg(F.count("*").alias("problems")))
+
+
+@query("""WITH h AS (SELECT sha256(text) AS object, min(doc_id) AS first_doc FROM documents GROUP BY 1) SELECT object, first_doc FROM h WHERE object NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)""")
+def want_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("object"))
+    mine = docs.groupBy("object").agg(F.min("doc_id").alias("first_doc"))
+    return relational.absent(mine, docs.where("doc_id % 3 = 0"))
+
+
+@query("""SELECT kind, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM (SELECT doc_id, CASE WHEN doc_id % 101 = 0 THEN 'missing' WHEN doc_id % 97 = 0 THEN 'checksum-mismatch' WHEN doc_id % 89 = 0 THEN 'content-mismatch' END AS kind FROM documents) WHERE kind IS NOT NULL GROUP BY 1""")
+def verify_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of one document each, some gone, some changed below a checksum that is that of the original, some below one that is their own."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text").cast("binary").alias("own"))
+    i = F.col("doc_id")
+    changed = F.concat(F.col("own"), F.lit("!").cast("binary"))
+    refs = docs.select("doc_id", F.sha2("own", 256).alias("object"), F.when((i % 89 == 0) & (i % 97 != 0), F.substring(F.sha2(changed, 256), 1, 16)).otherwise(F.substring(F.sha2("own", 256), 1, 16)).alias("checksum"))
+    stored = docs.where(i % 101 != 0).select(F.sha2("own", 256).alias("object"), F.when((i % 97 == 0) | (i % 89 == 0), changed).otherwise(F.col("own")).alias("payload"))
+    return relational.verify_objects(refs, stored).groupBy("kind").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
+
+
+@query("""WITH l AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT s_suppkey AS node, min(s_suppkey) OVER (PARTITION BY n_regionkey) AS label FROM l""")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers joined through a chain of nations of their region."""
+    s = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
+    w = Window.partitionBy("n_regionkey").orderBy(F.xxhash64("s_suppkey"))
+    edges = s.select(F.col("s_suppkey").alias("a"), F.lag("s_suppkey").over(w).alias("b")).where("b is not null")
+    return dag.components(edges, s.select(F.col("s_suppkey").alias("node"))).select("node", "label")
+
+
+@query("""WITH l AS (SELECT DISTINCT p_size AS s FROM part) SELECT CAST(a.s AS VARCHAR) AS consumer, CAST(b.s AS VARCHAR) AS producer FROM l a JOIN l b ON a.s <> b.s AND b.s > 0 AND a.s % b.s = 0""")
+def theta_can_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = _read(spark, sf_dir, "part").select(F.col("p_size").alias("cols")).distinct().select(F.col("cols").cast("string").alias("name"), "cols", F.col("cols").alias("out"))
+    return relational.can_follow(layers)
 
 
-QUERIES = {"content_dedup": content_dedup}
-ORACLE_SQL = {"content_dedup": "SELECT sha256(text) AS object, count(*) AS n_refs, min(doc_id) AS first_doc FROM documents GROUP BY 1"}
+@query("""WITH n AS (SELECT 'net.' || lower(replace(p_brand, '#', '.')) || '.n' || p_partkey AS name, p_size AS width, p_partkey AS pos FROM part WHERE p_partkey % 2 = 0), l AS (SELECT 'net.' || lower(replace(p_brand, '#', '.')) || '.l' || p_partkey AS name, p_size AS width, p_partkey AS pos FROM part WHERE p_partkey % 2 = 1 AND p_partkey <= 200),
+  j AS (SELECT n.name AS norm, l.name AS host, CASE WHEN split_part(n.name, '.', 1) <> split_part(l.name, '.', 1) THEN 0 WHEN split_part(n.name, '.', 2) <> split_part(l.name, '.', 2) THEN 1 WHEN split_part(n.name, '.', 3) <> split_part(l.name, '.', 3) OR split_part(n.name, '.', 4) = '' OR split_part(l.name, '.', 4) = '' THEN CASE WHEN split_part(n.name, '.', 3) = split_part(l.name, '.', 3) THEN 3 ELSE 2 END WHEN split_part(n.name, '.', 4) <> split_part(l.name, '.', 4) THEN 3 ELSE 4 END AS prefix,
+   CASE WHEN regexp_extract(n.name, '(\\d+)$', 1)::BIGINT = regexp_extract(l.name, '(\\d+)$', 1)::BIGINT THEN 1 ELSE 0 END AS same, CASE WHEN n.pos > l.pos THEN 1 ELSE 0 END AS behind, abs(n.pos - l.pos) AS gap FROM n JOIN l ON n.width = l.width)
+  SELECT norm, host, prefix FROM j QUALIFY row_number() OVER (PARTITION BY norm ORDER BY prefix DESC, same DESC, behind DESC, gap, host) = 1""")
+def best_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _read(spark, sf_dir, "part")
+    name = lambda mark: F.concat(F.lit("net."), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("."))), F.lit(f".{mark}"), F.col("p_partkey").cast("string"))
+    norms = part.where("p_partkey % 2 = 0").select(name("n").alias("name"), F.col("p_size").alias("width"), F.col("p_partkey").alias("pos"))
+    layers = part.where("p_partkey % 2 = 1 and p_partkey <= 200").select(name("l").alias("name"), F.col("p_size").alias("width"), F.col("p_partkey").alias("pos"))
+    return relational.best_host(norms, F.broadcast(layers))
