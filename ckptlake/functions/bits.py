@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 
-@pandas_udf("array<long>")
+@pandas_udf(ArrayType(LongType()))
 def float_bits(values: pd.Series) -> pd.Series:
     """The 32-bit patterns of arrays of floats, as unsigned numbers."""
     return values.map(lambda v: None if v is None else np.asarray(v, np.float32).view(np.uint32).astype(np.int64))
