@@ -13,17 +13,26 @@ from pyspark.sql import functions as F
 LAYERS = 8
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage by a checkpoint in the cluster's shared folder, or one of this machine where none is set and the master is local."""
+def shared_folder(spark) -> str:
+    """The cluster's folder for checkpoints, or one of this machine where none is set and the master is local."""
     import tempfile
 
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="ckptlake-"))
+        folder = "file://" + tempfile.mkdtemp(prefix="ckptlake-")
+    sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

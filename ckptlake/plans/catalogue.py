@@ -304,3 +304,81 @@ def best_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     norms = part.where("p_partkey % 2 = 0").select(name("n").alias("name"), F.col("p_size").alias("width"), F.col("p_partkey").alias("pos"))
     layers = part.where("p_partkey % 2 = 1 and p_partkey <= 200").select(name("l").alias("name"), F.col("p_size").alias("width"), F.col("p_partkey").alias("pos"))
     return relational.best_host(norms, F.broadcast(layers))
+
+
+@query(None)
+def chunk_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's bits encoded against the one before it of its label and decoded again: how many come back, and at what size."""
+    import pyarrow as pa
+
+    from ckptlake.functions import codec
+
+    v = _read(spark, sf_dir, "embeddings")
+    pairs = v.select("vec_id", "label", F.col("embedding").alias("t"), F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id")).alias("b"))
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            out = []
+            for i, label, t, b in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "t", "b")), strict=True):
+                x, y = (None if a is None else np.asarray(a, np.float32).tobytes() for a in (t, b))
+                e = codec.encode_chunk(x, y, "F32")
+                out.append((i, label, e.encoding, len(x), len(e.payload), codec.decode_chunk(e.encoding, e.payload, y, "F32") == x))
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["vec_id", "label", "encoding", "plain", "stored", "exact"])
+
+    coded = pairs.mapInArrow(run, "vec_id long, label int, encoding string, plain long, stored long, exact boolean")
+    return coded.groupBy("label").agg(F.count("*").alias("n"), F.sum("plain").alias("plain_bytes"), F.sum("stored").alias("stored_bytes"), F.bool_and("exact").alias("exact"))
+
+
+@query(None)
+def recovery_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hidden permutation of each label's vectors, found again by assignment: a group a label, solved on the executors in blocks of 64 units."""
+    import pyarrow as pa
+
+    from ckptlake.operators import align
+
+    v = _read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    unit = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    groups = v.withColumn("unit", unit).withColumn("part", F.floor(F.col("unit") / 64).cast("int"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        order = np.argsort(table["unit"].to_numpy())
+        base = np.array(table["embedding"].to_pylist(), np.float32)[order]
+        n = len(base)
+        truth = np.random.default_rng(n).permutation(n)
+        found = align.assign(align.unit_scores([("row", 1, base[truth], base)], n))
+        return pa.table({"label": pa.array([table["label"][0].as_py()], pa.int32()), "part": pa.array([table["part"][0].as_py()], pa.int32()), "size": pa.array([n], pa.int64()), "hits": pa.array([int((found == truth).sum())], pa.int64())})
+
+    solved = groups.groupBy("label", "part").applyInArrow(solve, "label int, part int, size long, hits long")
+    return solved.groupBy("label").agg(F.sum("size").alias("n_units"), (F.sum("hits") / F.sum("size")).alias("accuracy"))
+
+
+@query("""WITH c AS (SELECT user_id AS branch, event_id AS seq, event_id % 4 = 0 AS f, min(event_id) OVER (PARTITION BY user_id) AS lo FROM events), s AS (SELECT *, sum(CASE WHEN f OR seq = lo THEN 1 ELSE 0 END) OVER (PARTITION BY branch ORDER BY seq ROWS UNBOUNDED PRECEDING) AS star FROM c)
+  SELECT branch, CAST(count(*) FILTER (WHERE star = top) - 1 AS BIGINT) AS since_full, count(*) AS n_commits, max(seq) AS last_seq FROM (SELECT *, max(star) OVER (PARTITION BY branch) AS top FROM s) GROUP BY branch""")
+def stream_commit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commit log as a stream: per-branch commits since the last full one, after all that is there."""
+    import uuid
+
+    from ckptlake.operators.dag import shared_folder
+    from ckptlake.streaming.ingest import branch_state
+
+    ship(spark)
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    folder, _, file = path.rpartition("/")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+    commits = stream.select(F.col("user_id").alias("branch"), F.col("event_id").alias("seq"), (F.col("event_id") % 4 == 0).alias("full"))
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/state/batch={number}")
+
+    query_ = branch_state(commits).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    state = spark.read.parquet(f"{out}/state")
+    return state.groupBy("branch").agg(F.max_by("since_full", "batch").alias("since_full"), F.max_by("n_commits", "batch").alias("n_commits"), F.max("last_seq").alias("last_seq"))
