@@ -402,18 +402,35 @@ class Lake:
 
     # ---- commit -------------------------------------------------------------------------------------
 
-    def commit(self, path: str, message: str, config: bytes | None = None, alignment: dict[str, tuple] | None = None, full: bool | None = None, parents: list[str] | None = None, ts: str | None = None) -> dict:
+    def commit(self, path: str, message: str, config: bytes | None = None, alignment: dict[str, tuple] | None = None, full: bool | None = None, parents: list[str] | None = None, ts: str | None = None, adaptive: bool = False, align: bool = False) -> dict:
         """Commit a checkpoint file to the branch that HEAD is on.
 
-        alignment: name -> (row permutation, column permutation, columns a block), of
-        base indices for target indices, None for the identity.
+        Residuals are taken from the last full commit, and every fourth commit is
+        full. adaptive: they are taken from the commit before instead, and a tensor
+        whose residual saves too little, or whose chain is long, starts anew; if most
+        do, the commit is full. alignment: name -> (row permutation, column
+        permutation, columns a block), of base indices for target indices, None for
+        the identity. align: find it; if most tensors can't be aligned, the commit is
+        full.
         """
         branch, tip = self.head()
         if branch is None:
             raise UsageError("HEAD is detached")
         base, since = self.star_state(tip)
-        full = full if full is not None else base is None or since >= REBASE_INTERVAL - 1
+        base = tip if adaptive else base
+        full = full if full is not None else base is None or not adaptive and since >= REBASE_INTERVAL - 1
         base = None if full else base
+        notes: list[str] = []
+        if align and base is not None:
+            from ckptlake.operators.align import align_commit
+
+            found = align_commit(self, path, base)
+            poor = sum(not r["alignable"] for r in found.report)
+            if 2 * poor > len(found.report):
+                notes.append(f"{poor} of {len(found.report)} tensors can't be aligned: stored in full")
+                base, full = None, True
+            else:
+                alignment = found.plan()
         if config is None and tip is None:
             raise UsageError("a first commit needs its config")
         staged = f"{self.root}/tmp/{uuid.uuid4().hex}"
@@ -422,7 +439,7 @@ class Lake:
         target = st.scan_blocks(self.spark, path, self.chunk_bytes)
         digests = {r["name"]: r["content_hash"] for r in _tensor_digests(self.spark, path).collect()}
         header = _header_bytes(self.spark, path)
-        notes, known = [], {}
+        known: dict[str, str] = {}
         if base is not None:
             have = {r["name"]: r for r in self.tensors(base).collect()}
             for s in specs:
@@ -454,6 +471,18 @@ class Lake:
             pairs = target.withColumn("base_bits", F.lit(None).cast("binary"))
         pairs.mapInArrow(_encode, _ENCODED).write.parquet(staged)
         encoded = self.spark.read.schema(_ENCODED).parquet(staged)
+        promoted: list[str] = []
+        if adaptive and known:
+            promoted = self._promoted(encoded, specs, known)
+            if 2 * len(promoted) > len(known):
+                notes.append(f"{len(promoted)} of {len(known)} tensors start anew: stored in full")
+                promoted, full, base = list(known), True, None
+            if promoted:
+                again = target.where(F.col("name").isin(promoted)).withColumn("base_bits", F.lit(None).cast("binary"))
+                again.mapInArrow(_encode, _ENCODED).write.parquet(f"{staged}-anew")
+                encoded = encoded.where(~F.col("name").isin(promoted)).unionByName(self.spark.read.schema(_ENCODED).parquet(f"{staged}-anew"))
+                for name in promoted:
+                    known.pop(name)
         new = relational.absent(encoded.select("object", "plain_len", F.length("payload").cast("long").alias("stored_len"), F.col("checksum").alias("stored_checksum"), "payload"), self.table("chunks"))
         rows = encoded.select("name", "chunk_no", "row_start", "row_end", "encoding", "object", "plain_len", "checksum", "identical", F.length("payload").alias("stored")).orderBy("name", "chunk_no").collect()
         by_name: dict[str, list] = {}
@@ -498,11 +527,22 @@ class Lake:
             self.append("checkpoints", self.spark.createDataFrame([(checkpoint, name_of(header), config_name)], TABLES["checkpoints"]))
         commit = self.write_commit(checkpoint, parents or ([tip] if tip else []), message, full, path.rpartition("/")[2], ts)
         self.update_ref(branch, commit)
-        p, fs = self._path(staged[len(self.root) + 1 :])
-        fs.delete(p, True)
+        for made in (staged, f"{staged}-anew"):
+            p, fs = self._path(made[len(self.root) + 1 :])
+            fs.delete(p, True)
         original = sum(s["nbytes"] for s in specs)
         stored = sum({r["object"]: r["stored"] for r in stored_new}.values())
-        return {"commit": commit, "full": full, "base": base, "tensors": len(specs), "reused": sorted(reused), "original_bytes": original, "stored_bytes": stored, "ratio": stored / original if original else 0.0, "notes": notes}
+        return {"commit": commit, "full": full, "base": base, "tensors": len(specs), "reused": sorted(reused), "original_bytes": original, "stored_bytes": stored, "ratio": stored / original if original else 0.0, "promoted": sorted(promoted), "notes": notes}
+
+    def _promoted(self, encoded: DataFrame, specs, known: dict[str, str]) -> list[str]:
+        """Tensors that start a new chain, by the ratio of their residual and the depth of their base."""
+        bases = self.spark.createDataFrame(list(known.items()), "name string, manifest string")
+        chains = dag.chain_roots(self.table("tensor_manifests").select(F.col("tensor_manifest").alias("manifest"), F.col("base_manifest").alias("base")).distinct())
+        sizes = self.spark.createDataFrame([(s["name"], s["nbytes"]) for s in specs], "name string, nbytes long")
+        stored = encoded.groupBy("name").agg(F.sum(F.when(F.col("identical"), 0).otherwise(F.length("payload"))).alias("stored"))
+        at = bases.join(chains, "manifest", "left").join(sizes, "name").join(stored, "name")
+        decision = exprs.anchor_decision(F.coalesce(F.try_divide("stored", "nbytes"), F.lit(0.0)), F.coalesce("hops", F.lit(0)))
+        return [r["name"] for r in at.where((decision == "anchor") & (F.col("stored") > 0)).select("name").collect()]
 
     def write_commit(self, checkpoint: str, parents: list[str], message: str, full: bool, checkpoint_name: str, ts: str | None = None) -> str:
         ts = ts or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -521,6 +561,15 @@ class Lake:
         r = relational.checkpoint_sizes(refs.withColumn("g", F.lit(0)), "g", "object", "stored_len").first()
         return {"original_bytes": original or 0, "n_refs": r["n_refs"] if r else 0, "n_objects": r["n_objects"] if r else 0, "stored_bytes": r["stored_bytes"] if r else 0}
 
+    def minimum_bytes(self, commits: list[str]) -> int:
+        """Stored bytes of the distinct chunks that it takes to rebuild the commits, bases included."""
+        own = self.spark.createDataFrame([(c,) for c in commits], "commit string").join(self.table("commits").select("commit", "checkpoint").distinct(), "commit").join(self.table("checkpoint_tensors").distinct(), "checkpoint")
+        manifests = self.table("tensor_manifests").dropDuplicates(["tensor_manifest"])
+        edges = manifests.where("base_manifest is not null").select(F.col("tensor_manifest").alias("child"), F.col("base_manifest").alias("parent"))
+        needed = dag.ancestors(edges, own.select(F.col("tensor_manifest").alias("node"))).select(F.col("node").alias("tensor_manifest")).distinct()
+        objects = needed.join(self.table("manifest_chunks"), "tensor_manifest").select("object").distinct()
+        return objects.join(self.table("chunks").dropDuplicates(["object"]), "object").agg(F.sum("stored_len")).first()[0] or 0
+
     # ---- compare ------------------------------------------------------------------------------------
 
     def compare(self, left: str, right: str) -> DataFrame:

@@ -166,3 +166,40 @@ def verify_objects(referenced: DataFrame, stored: DataFrame) -> DataFrame:
     joined = referenced.join(stored.withColumn("there", F.lit(True)), "object", "left")
     kind = F.when(F.col("there").isNull(), "missing").when(F.substring(F.sha2("payload", 256), 1, 16) != F.col("checksum"), "checksum-mismatch").when(F.sha2("payload", 256) != F.col("object"), "content-mismatch")
     return joined.withColumn("kind", kind).where("kind is not null")
+
+
+def layer_pairs(layers: DataFrame, order: str, by: str | None = None) -> DataFrame:
+    """Each layer beside the next one: what a window of two layers sees."""
+    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
+    return layers.withColumn("next_layer", F.lead(order).over(w)).where("next_layer is not null")
+
+
+def midpoint_error(series: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """How far each value lies from the mean of its two neighbours, and from the one before, over each series."""
+    w = Window.partitionBy(by).orderBy(order)
+    near = series.select(by, F.col(value).alias("v"), F.lag(value).over(w).alias("a"), F.lead(value).over(w).alias("b")).where("a is not null and b is not null")
+    return near.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("v") - (F.col("a") + F.col("b")) / 2)).alias("midpoint_error"), F.avg(F.abs(F.col("v") - F.col("a"))).alias("step_error"))
+
+
+def growth_exponent(measured: DataFrame, by: str, size: str, cost: str) -> DataFrame:
+    """The power of its size by which a cost grew since the size before."""
+    w = Window.partitionBy(by).orderBy(size)
+    a, b = F.lag(size).over(w), F.lag(cost).over(w)
+    return measured.select(by, size, cost, F.when((a > 0) & (F.col(size) > a) & (b > 0) & (F.col(cost) > 0), F.log(F.col(cost) / b) / F.log(F.col(size) / a)).alias("exponent")).where("exponent is not null")
+
+
+def calibrate(measured: DataFrame, alike: Column, value: str) -> DataFrame:
+    """The greatest value of what is alike, the least of what isn't, and the threshold between them."""
+    ends = measured.agg(F.max(F.when(alike, F.col(value))).alias("worst_alike"), F.min(F.when(~alike, F.col(value))).alias("best_other"))
+    return ends.withColumn("threshold", F.sqrt(F.col("worst_alike") * F.col("best_other"))).withColumn("separable", F.col("worst_alike") < F.col("best_other"))
+
+
+def dependency_levels(depths: DataFrame) -> DataFrame:
+    """Nodes in the order in which they can be sent: the farthest from the tip first."""
+    return depths.groupBy("node").agg(F.max("depth").alias("level")).orderBy(F.desc("level"), "node")
+
+
+def first_failures(failures: DataFrame, most: int, order: list[str]) -> DataFrame:
+    """At most so many failures, with a mark if there were more."""
+    top = failures.orderBy(*order).limit(most + 1).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return top.withColumn("truncated", F.max((F.col("place") > most).cast("boolean")).over(Window.partitionBy(F.lit(0)))).where(F.col("place") <= most).drop("place")

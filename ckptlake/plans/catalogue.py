@@ -382,3 +382,47 @@ def stream_commit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     query_.awaitTermination()
     state = spark.read.parquet(f"{out}/state")
     return state.groupBy("branch").agg(F.max_by("since_full", "batch").alias("since_full"), F.max_by("n_commits", "batch").alias("n_commits"), F.max("last_seq").alias("last_seq"))
+
+
+@query("""SELECT user_id, count(*) AS n, round(avg(abs(v - (a + b) / 2)), 6) AS midpoint_error, round(avg(abs(v - a)), 6) AS step_error FROM (SELECT user_id, value AS v, lag(value) OVER w AS a, lead(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1""")
+def midpoint_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = relational.midpoint_error(_read(spark, sf_dir, "events"), "user_id", "event_id", "value")
+    return got.select("user_id", "n", _round("midpoint_error").alias("midpoint_error"), _round("step_error").alias("step_error"))
+
+
+@query("""WITH m AS (SELECT p_brand, p_size, sum(p_retailprice) AS cost FROM part GROUP BY 1, 2), x AS (SELECT *, lag(p_size) OVER w AS a, lag(cost) OVER w AS b FROM m WINDOW w AS (PARTITION BY p_brand ORDER BY p_size))
+  SELECT p_brand, p_size, round(ln(cost / b) / ln(p_size / a), 6) AS exponent FROM x WHERE a > 0 AND b > 0 AND cost > 0""")
+def growth_exponent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _read(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.sum("p_retailprice").alias("cost"))
+    return relational.growth_exponent(m, "p_brand", "p_size", "cost").select("p_brand", "p_size", _round("exponent").alias("exponent"))
+
+
+@query("""SELECT round(max(CASE WHEN s < 0 THEN abs(s) END), 6) AS worst_alike, round(min(CASE WHEN s >= 0 THEN abs(s) END), 6) AS best_other, round(sqrt(max(CASE WHEN s < 0 THEN abs(s) END) * min(CASE WHEN s >= 0 THEN abs(s) END)), 6) AS threshold, max(CASE WHEN s < 0 THEN abs(s) END) < min(CASE WHEN s >= 0 THEN abs(s) END) AS separable FROM (SELECT s_acctbal AS s FROM supplier)""")
+def threshold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("s"), F.abs("s_acctbal").alias("v"))
+    got = relational.calibrate(s, F.col("s") < 0, "v")
+    return got.select(_round("worst_alike").alias("worst_alike"), _round("best_other").alias("best_other"), _round("threshold").alias("threshold"), "separable")
+
+
+@query("SELECT user_id, event_id, next_layer FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next_layer FROM events) WHERE next_layer IS NOT NULL")
+def layer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.layer_pairs(_read(spark, sf_dir, "events").select("user_id", "event_id"), "event_id", "user_id")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, a AS (SELECT CAST(40 AS BIGINT) AS node, 0 AS depth UNION SELECT e.parent, a.depth + 1 FROM a JOIN e ON e.child = a.node) SELECT node, min(depth) AS level FROM a GROUP BY node")
+def sync_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(_read(spark, sf_dir, "events"))
+    return relational.dependency_levels(dag.ancestors(edges, spark.createDataFrame([(40,)], "node long")))
+
+
+@query("""SELECT n_name, array_to_string(list_transform(regexp_extract_all(n_name || n_nationkey, '(\\d+|\\D+)', 1), lambda p: CASE WHEN regexp_matches(p, '^\\d+$') THEN '0' || lpad(p, 20, '0') ELSE '1' || p END), '/') AS sort_key, CASE WHEN n_nationkey >= 10 THEN 'linear' ELSE 'norm' END AS kind, CAST(length(n_name) AS BIGINT) AS n FROM nation""")
+def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _read(spark, sf_dir, "nation")
+    shape = F.when(F.col("n_nationkey") >= 10, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(2)))
+    return n.select("n_name", F.array_join(exprs.natural_key(F.concat("n_name", F.col("n_nationkey").cast("string"))), "/").alias("sort_key"), exprs.layer_kind(shape).alias("kind"), F.length("n_name").cast("long").alias("n"))
+
+
+@query("""SELECT source, CASE WHEN b >= 1048576 THEN printf('%.1f MiB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.1f KiB', b / 1024.0) ELSE printf('%d B', b) END AS size, b AS n_bytes FROM (SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS b FROM documents GROUP BY 1)""")
+def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = _read(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
+    return total.select("source", exprs.human_bytes(F.col("n_bytes")).alias("size"), "n_bytes")

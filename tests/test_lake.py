@@ -215,3 +215,19 @@ def test_zigzag_over_all_patterns():
 def test_widths():
     x = np.array([1.0, -2.5, 3.1e-3], np.float32)
     assert np.allclose(bits.widen(bits.narrow(x, "BF16"), "BF16"), x, rtol=1e-2) and (bits.widen(bits.narrow(x, "F32"), "F32") == x).all()
+
+
+def test_adaptive_chains(lake, tmp_path):
+    rng = np.random.default_rng(8)
+    w = model(rng)
+    commits, files = [], []
+    for k in range(6):
+        w = {n: v + rng.normal(scale=1e-4, size=v.shape) for n, v in w.items()}
+        files.append(write(tmp_path / "m.safetensors", w))
+        commits.append(lake.commit(f"file://{tmp_path}/m.safetensors", str(k), config=b"{}" if not k else None, adaptive=True))
+    depth = {r["hops"] for r in lk.dag.chain_roots(lake.table("tensor_manifests").select(lk.F.col("tensor_manifest").alias("manifest"), lk.F.col("base_manifest").alias("base"))).collect()}
+    assert max(depth) <= 3
+    for c, data in zip(commits[-2:], files[-2:], strict=True):
+        lake.restore(c["commit"], str(tmp_path / "out"))
+        assert (tmp_path / "out").read_bytes() == data
+    assert 0 < lake.minimum_bytes([commits[-1]["commit"]]) <= lake.minimum_bytes([c["commit"] for c in commits])
