@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def test_bit_arithmetic_over_a_range(spark):
-    rows = spark.range(0, 70000, 7).select((F.col("id") & 65535).alias("t"), ((F.col("id") * 31) & 65535).alias("b"))
+    rows = spark.range(0, 70000, 7).select(F.col("id").bitwiseAND(65535).alias("t"), (F.col("id") * 31).bitwiseAND(65535).alias("b"))
     d = exprs.delta16(F.col("t"), F.col("b"))
     z = exprs.zigzag16(d)
     back = exprs.add16(F.col("b"), exprs.unzigzag16(z))
