@@ -76,7 +76,7 @@ def cuts(buf: np.ndarray, offsets: np.ndarray, bits: int = 10) -> np.ndarray:
 class ChunkCodec:
     """Encoder and decoder with a bounded memory of words and chunks."""
 
-    def __init__(self, spec: str, bits: int = 10, most_words: int = 500_000, most_chunk_bytes: int = 48 << 20):
+    def __init__(self, spec: str, bits: int = 10, most_words: int = 120_000, most_chunk_bytes: int = 12 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -94,7 +94,10 @@ class ChunkCodec:
         self.digits = [b"%d " % i for i in range(len(self.names))]
         self.closes = np.array([n.endswith(b"</w> ") for n in self.names])
         self.latin = PATTERN in spec  # else words are encoded whole
+        # Each memory has two generations: a full one is kept beside a new one until that is full, so what is in use stays.
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.old_pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.old_words: dict[bytes, tuple[bytes, bytes]] = {}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = self.encoded = self.reused = 0
@@ -114,6 +117,9 @@ class ChunkCodec:
         for w in words:
             if w in self.words:
                 continue
+            if w in self.old_words:
+                self.words[w] = self.old_words[w]
+                continue
             s = w.decode()
             if self.latin and _LATIN.fullmatch(s) and "<|" not in s:
                 parts = _PARTS.findall(s.lower())
@@ -123,8 +129,14 @@ class ChunkCodec:
                 own = self.tokenizer.encode(s, add_special_tokens=False).ids
                 self.words[w] = b"".join([self.digits[i] for i in own]), b"".join([self.names[i] for i in own])
         if len(self.pieces) > self.most_words:
-            self.pieces.clear()
-        new = [s for s in need if s not in self.pieces]
+            self.old_pieces, self.pieces = self.pieces, {}
+        new = []
+        for s in need:
+            if s not in self.pieces:
+                if s in self.old_pieces:
+                    self.pieces[s] = self.old_pieces[s]
+                else:
+                    new.append(s)
         for a in range(0, len(new), 2048):
             for s, own in zip(new[a : a + 2048], self._encode_many(new[a : a + 2048]), strict=True):
                 self.pieces[s] = b"".join([self.digits[i] for i in own]), b"".join([self.names[i] for i in own])
@@ -135,7 +147,7 @@ class ChunkCodec:
     def run(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[bytes, bytes]]:
         """For each row: its ids in decimal, each with a blank after it; its tokens, likewise."""
         if len(self.words) > self.most_words:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         if self.chunk_bytes > self.most_chunk_bytes:
             self.chunks.clear()
             self.chunk_bytes = 0
