@@ -68,14 +68,20 @@ def first_parents(edges: DataFrame, tip, limit: int = 1000) -> DataFrame:
     )
 
 
-def merge_base(edges: DataFrame, ours, theirs) -> DataFrame:
-    """(node, ours_depth, theirs_depth): the nearest common ancestor; of several, the least name. No row if there is none."""
-    spark = edges.sparkSession
-    roots = spark.createDataFrame([(ours,), (theirs,)], f"node {dict(edges.dtypes)['child']}")
+def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(ours, theirs, node, ours_depth, theirs_depth): the nearest common ancestor of each pair (ours, theirs); of several, the least name. Pairs without one have no row."""
+    roots = pairs.select(F.col("ours").alias("node")).unionByName(pairs.select(F.col("theirs").alias("node"))).distinct()
     all_ = ancestors(edges, roots)
-    a = all_.where(F.col("root") == F.lit(ours)).select("node", F.col("depth").alias("ours_depth"))
-    b = all_.where(F.col("root") == F.lit(theirs)).select("node", F.col("depth").alias("theirs_depth"))
-    return a.join(b, "node").orderBy(F.col("ours_depth") + F.col("theirs_depth"), "node").limit(1)
+    a = pairs.join(all_.select(F.col("root").alias("ours"), "node", F.col("depth").alias("ours_depth")), "ours")
+    both = a.join(all_.select(F.col("root").alias("theirs"), "node", F.col("depth").alias("theirs_depth")), ["theirs", "node"])
+    best = F.min(F.struct((F.col("ours_depth") + F.col("theirs_depth")).alias("far"), "node", "ours_depth", "theirs_depth")).alias("b")
+    return both.groupBy("ours", "theirs").agg(best).select("ours", "theirs", "b.node", "b.ours_depth", "b.theirs_depth")
+
+
+def merge_base(edges: DataFrame, ours, theirs) -> DataFrame:
+    """The same for one pair: (node, ours_depth, theirs_depth)."""
+    kind = dict(edges.dtypes)["child"]
+    return merge_bases(edges, edges.sparkSession.createDataFrame([(ours, theirs)], f"ours {kind}, theirs {kind}")).drop("ours", "theirs")
 
 
 def chain_roots(bases: DataFrame, most: int = 64) -> DataFrame:

@@ -108,36 +108,48 @@ def compare_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(events: DataFrame) -> DataFrame:
-    """A commit graph: the one before, and every tenth commit also merges the seventh before."""
-    i = F.col("event_id")
-    first = events.where(i > 0).select(i.alias("child"), (i - 1).alias("parent"), F.lit(0).alias("ord"))
-    return first.unionByName(events.where((i % 10 == 0) & (i >= 7)).select(i.alias("child"), (i - 7).alias("parent"), F.lit(1).alias("ord")))
+    """A commit graph of the whole log: a branch for each user, which forks from the commit before its first one; every tenth commit of a branch also merges the seventh before."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    own = events.select(F.col("event_id").alias("child"), F.lag("event_id").over(w).alias("before"), F.lag("event_id", 7).over(w).alias("seventh"), F.row_number().over(w).alias("n"))
+    first = own.select("child", F.coalesce("before", F.col("child") - 1).alias("parent"), F.lit(0).alias("ord")).where("parent >= 0")
+    return first.unionByName(own.where("n % 10 = 0 and seventh is not null").select("child", F.col("seventh").alias("parent"), F.lit(1).alias("ord")))
 
 
-_EDGES = "e AS (SELECT event_id AS child, event_id - 1 AS parent FROM events WHERE event_id > 0 UNION ALL SELECT event_id, event_id - 7 FROM events WHERE event_id % 10 = 0 AND event_id >= 7)"
+def _tips(events: DataFrame) -> DataFrame:
+    return events.groupBy("user_id").agg(F.max("event_id").alias("node"))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, a AS (SELECT CAST(60 AS BIGINT) AS node, 0 AS depth UNION SELECT e.parent, a.depth + 1 FROM a JOIN e ON e.child = a.node) SELECT node, min(depth) AS depth FROM a GROUP BY node")
+_EDGES = """l AS (SELECT event_id AS child, lag(event_id) OVER w AS b, lag(event_id, 7) OVER w AS s, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  e AS (SELECT child, coalesce(b, child - 1) AS parent, 0 AS ord FROM l WHERE coalesce(b, child - 1) >= 0 UNION ALL SELECT child, s, 1 FROM l WHERE n % 10 = 0 AND s IS NOT NULL),
+  tips AS (SELECT user_id, max(event_id) AS node FROM events GROUP BY 1),
+  a AS (SELECT node AS root, node, 0 AS depth FROM tips UNION SELECT a.root, e.parent, a.depth + 1 FROM a JOIN e ON e.child = a.node),
+  near AS (SELECT root, node, min(depth) AS depth FROM a GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_EDGES} SELECT root, node, depth FROM near")
 def ancestors_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(_read(spark, sf_dir, "events"))
-    return dag.ancestors(edges, spark.createDataFrame([(60,)], "node long")).select("node", "depth")
+    events = _read(spark, sf_dir, "events").select("event_id", "user_id")
+    return dag.ancestors(_edges(events), _tips(events).select("node"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT CAST(90 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT node - 1, depth + 1 FROM c WHERE depth < 24 AND node > 0)
+@query("""WITH RECURSIVE l AS (SELECT event_id AS child, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), event_id - 1) AS parent FROM events),
+  c AS (SELECT max(event_id) AS node, 0 AS depth FROM events UNION ALL SELECT l.parent, c.depth + 1 FROM c JOIN l ON l.child = c.node WHERE c.depth < 24 AND l.parent >= 0)
   SELECT c.depth, c.node, e.event_type AS label FROM c LEFT JOIN events e ON e.event_id = c.node""")
 def log_first_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 25 commits of the newest branch, which is what a log with a limit is."""
     events = _read(spark, sf_dir, "events")
-    log = dag.first_parents(_edges(events), 90, 25)
+    log = dag.first_parents(_edges(events.select("event_id", "user_id")), events.agg(F.max("event_id")).first()[0], 25)
     return log.join(events.select(F.col("event_id").alias("node"), F.col("event_type").alias("label")), "node", "left").select("depth", "node", "label")
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, f AS (SELECT child, parent FROM e WHERE NOT (child = 48 AND parent = 47)),
-  a AS (SELECT CAST(47 AS BIGINT) AS node, 0 AS depth UNION SELECT f.parent, a.depth + 1 FROM a JOIN f ON f.child = a.node),
-  b AS (SELECT CAST(50 AS BIGINT) AS node, 0 AS depth UNION SELECT f.parent, b.depth + 1 FROM b JOIN f ON f.child = b.node)
-  SELECT node, x.d AS ours_depth, y.d AS theirs_depth FROM (SELECT node, min(depth) AS d FROM a GROUP BY node) x JOIN (SELECT node, min(depth) AS d FROM b GROUP BY node) y USING (node) ORDER BY x.d + y.d, node LIMIT 1""")
+@query(f"""WITH RECURSIVE {_EDGES}, p AS (SELECT * FROM (SELECT node AS ours, lead(node) OVER (ORDER BY user_id) AS theirs FROM tips) WHERE theirs IS NOT NULL)
+  SELECT ours, theirs, x.node, x.depth AS ours_depth, y.depth AS theirs_depth FROM p JOIN near x ON x.root = ours JOIN near y ON y.root = theirs AND y.node = x.node
+  QUALIFY row_number() OVER (PARTITION BY ours, theirs ORDER BY x.depth + y.depth, x.node) = 1""")
 def merge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(_read(spark, sf_dir, "events")).where("not (child = 48 and parent = 47)")
-    return dag.merge_base(edges, 47, 50)
+    """Merge bases of the branches of each user and the next; the tips are one row a branch."""
+    events = _read(spark, sf_dir, "events").select("event_id", "user_id")
+    pairs = _tips(events).select(F.col("node").alias("ours"), F.lead("node").over(Window.orderBy("user_id")).alias("theirs")).where("theirs is not null")
+    return dag.merge_bases(_edges(events), dag.cut(pairs))
 
 
 @query("""SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id, star ORDER BY event_id) - 1 AS BIGINT) AS since_full, anchor FROM (
@@ -163,13 +175,26 @@ def float_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", total.alias("checksum"), F.element_at("b", 1).alias("first_bits"))
 
 
-@query("""SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 40 AND b.vec_id < 40""")
+@query("""WITH s AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
+  SELECT label, i, round(max(score), 6) AS best_score, round(sum(score), 4) AS score_sum FROM s GROUP BY 1, 2""")
 def group_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of one permutation group of 40 units; a group's size is a layer's width."""
-    v = _read(spark, sf_dir, "embeddings").where("vec_id < 40")
-    a, b = v.select(F.col("vec_id").alias("i"), "label", F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("j"), "label", F.col("embedding").alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, "label").select("i", "j", _round(dot).alias("score"))
+    """Scores of the units of each group with each other, as one product of matrices a group: each unit's best and sum. A label is a layer, whose width bounds the group; no pair leaves the product."""
+    import pyarrow as pa
+
+    from ckptlake.operators import align
+
+    def scores(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        m = np.array(table["embedding"].to_pylist(), np.float32).astype(np.float64)
+        s = align.unit_scores([("row", 1, m, m)], len(m), normalise=False)
+        np.fill_diagonal(s, -np.inf)
+        best = s.max(1)
+        np.fill_diagonal(s, 0)
+        return pa.table({"label": table["label"].cast(pa.int32()), "i": table["vec_id"], "best_score": best, "score_sum": s.sum(1)})
+
+    got = _read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInArrow(scores, "label int, i long, best_score double, score_sum double")
+    return got.where("best_score > double('-infinity')").select("label", "i", _round("best_score").alias("best_score"), _round("score_sum", 4).alias("score_sum"))
 
 
 @query("""SELECT l_linestatus, CAST(sum(n) AS BIGINT) AS total, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT l_linestatus, l_partkey & 255 AS b, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY l_linestatus) AS t FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
@@ -294,16 +319,16 @@ def theta_can_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.can_follow(layers)
 
 
-@query("""WITH n AS (SELECT 'net.' || lower(replace(p_brand, '#', '.')) || '.n' || p_partkey AS name, p_size AS width, p_partkey AS pos FROM part WHERE p_partkey % 2 = 0), l AS (SELECT 'net.' || lower(replace(p_brand, '#', '.')) || '.l' || p_partkey AS name, p_size AS width, p_partkey AS pos FROM part WHERE p_partkey % 2 = 1 AND p_partkey <= 200),
+@query("""WITH n AS (SELECT 'net.' || lower(replace(p_brand, '#', '.')) || '.n' || p_partkey AS name, p_partkey // 20 AS width, p_partkey AS pos FROM part WHERE p_partkey % 2 = 0), l AS (SELECT 'net.' || lower(replace(p_brand, '#', '.')) || '.l' || p_partkey AS name, p_partkey // 20 AS width, p_partkey AS pos FROM part WHERE p_partkey % 2 = 1),
   j AS (SELECT n.name AS norm, l.name AS host, CASE WHEN split_part(n.name, '.', 1) <> split_part(l.name, '.', 1) THEN 0 WHEN split_part(n.name, '.', 2) <> split_part(l.name, '.', 2) THEN 1 WHEN split_part(n.name, '.', 3) <> split_part(l.name, '.', 3) OR split_part(n.name, '.', 4) = '' OR split_part(l.name, '.', 4) = '' THEN CASE WHEN split_part(n.name, '.', 3) = split_part(l.name, '.', 3) THEN 3 ELSE 2 END WHEN split_part(n.name, '.', 4) <> split_part(l.name, '.', 4) THEN 3 ELSE 4 END AS prefix,
    CASE WHEN regexp_extract(n.name, '(\\d+)$', 1)::BIGINT = regexp_extract(l.name, '(\\d+)$', 1)::BIGINT THEN 1 ELSE 0 END AS same, CASE WHEN n.pos > l.pos THEN 1 ELSE 0 END AS behind, abs(n.pos - l.pos) AS gap FROM n JOIN l ON n.width = l.width)
   SELECT norm, host, prefix FROM j QUALIFY row_number() OVER (PARTITION BY norm ORDER BY prefix DESC, same DESC, behind DESC, gap, host) = 1""")
 def best_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part")
     name = lambda mark: F.concat(F.lit("net."), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("."))), F.lit(f".{mark}"), F.col("p_partkey").cast("string"))
-    norms = part.where("p_partkey % 2 = 0").select(name("n").alias("name"), F.col("p_size").alias("width"), F.col("p_partkey").alias("pos"))
-    layers = part.where("p_partkey % 2 = 1 and p_partkey <= 200").select(name("l").alias("name"), F.col("p_size").alias("width"), F.col("p_partkey").alias("pos"))
-    return relational.best_host(norms, F.broadcast(layers))
+    norms = part.where("p_partkey % 2 = 0").select(name("n").alias("name"), F.floor(F.col("p_partkey") / 20).alias("width"), F.col("p_partkey").alias("pos"))
+    layers = part.where("p_partkey % 2 = 1").select(name("l").alias("name"), F.floor(F.col("p_partkey") / 20).alias("width"), F.col("p_partkey").alias("pos"))
+    return relational.best_host(norms, layers)
 
 
 @query(None)
@@ -409,10 +434,10 @@ def layer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.layer_pairs(_read(spark, sf_dir, "events").select("user_id", "event_id"), "event_id", "user_id")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, a AS (SELECT CAST(40 AS BIGINT) AS node, 0 AS depth UNION SELECT e.parent, a.depth + 1 FROM a JOIN e ON e.child = a.node) SELECT node, min(depth) AS level FROM a GROUP BY node")
+@query(f"WITH RECURSIVE {_EDGES} SELECT node, max(depth) AS level FROM near GROUP BY 1")
 def sync_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(_read(spark, sf_dir, "events"))
-    return relational.dependency_levels(dag.ancestors(edges, spark.createDataFrame([(40,)], "node long")))
+    events = _read(spark, sf_dir, "events").select("event_id", "user_id")
+    return relational.dependency_levels(dag.ancestors(_edges(events), _tips(events).select("node")))
 
 
 @query("""SELECT n_name, array_to_string(list_transform(regexp_extract_all(n_name || n_nationkey, '(\\d+|\\D+)', 1), lambda p: CASE WHEN regexp_matches(p, '^\\d+$') THEN '0' || lpad(p, 20, '0') ELSE '1' || p END), '/') AS sort_key, CASE WHEN n_nationkey >= 10 THEN 'linear' ELSE 'norm' END AS kind, CAST(length(n_name) AS BIGINT) AS n FROM nation""")
