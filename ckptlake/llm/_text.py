@@ -43,10 +43,19 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def trim_power_table() -> None:
-    """Forget a table that one very long document has made large."""
+def release() -> None:
+    """Give what a task's work has used back to the system: a worker outlives its tasks, and others share its machine."""
+    import ctypes
+    import gc
+
     if len(_powers.get("up", ())) > 4 * SLICE_BYTES:
-        _powers.clear()
+        _powers.clear()  # one very long document has made it large
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another allocator, which needs no asking
 
 
 def mix(h: np.ndarray) -> np.ndarray:

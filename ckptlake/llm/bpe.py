@@ -144,6 +144,10 @@ class ChunkCodec:
             got = [self.pieces[s] for s in parts]
             self.words[w] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]))
 
+    def rest(self) -> None:
+        """Between tasks only the newest words and pre-tokens are kept."""
+        self.chunks, self.old_words, self.old_pieces, self.chunk_bytes = {}, {}, {}, 0
+
     def run(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[bytes, bytes]]:
         """For each row: its ids in decimal, each with a blank after it; its tokens, likewise."""
         if len(self.words) > self.most_words:
@@ -246,6 +250,8 @@ def code(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, ...] = ("n_to
             yield from coded(own, batches)
         finally:
             gc.enable()
+            own.rest()
+            _text.release()
 
     def coded(own, batches):
         for batch in batches:

@@ -128,6 +128,7 @@ def find(docs: DataFrame, items: DataFrame, width: int = 8, block_bytes: int = 4
             for at, to, buf, offsets in _text.slices(batch.column("text")):
                 data, bounds = buf.tobytes(), offsets.tolist()
                 yield batch.column("doc_id").slice(at, to - at), [finish(text := data[a:b], *scanner.scan(text)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            _text.release()
 
     def complete(text, n, hits):
         n_hit, found = summary(n, hits)
@@ -189,5 +190,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, least_items: int = 2, w
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     keep.append(len({h[0] for s in scanners for h in s.scan(data[a:b])[1]}) < least_items)
             yield batch.filter(pa.array(keep, pa.bool_()))
+            _text.release()
 
     return docs.mapInArrow(run, docs.schema)

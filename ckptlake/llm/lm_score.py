@@ -60,7 +60,7 @@ def _groups(batches, columns: tuple[str, ...]):
                 held, size, rows = [], 0, 0
     if held:
         yield _joined(held, columns)
-    _text.trim_power_table()
+    _text.release()
 
 
 def _joined(held, columns):

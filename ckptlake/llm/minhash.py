@@ -116,7 +116,7 @@ def _sign(width: int, bands: int, rows: int):
                 nodes = [xxhash.xxh3_128_digest(s[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(h.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(n.astype(np.int64)), pa.array(nodes, pa.binary()), flat], ["doc_id", "n_shingles", "node", "bands"])
-            _text.trim_power_table()
+            _text.release()
 
     return run
 

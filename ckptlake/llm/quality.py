@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: PairModel, id_col: str = "doc_id", text_col: s
     def run(batches):
         for batch in batches:
             x = [features(buf, offsets) for _, _, buf, offsets in _text.slices(batch.column("text"))]
-            _text.trim_power_table()
+            _text.release()
             x = np.concatenate(x) if x else np.zeros((0, FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.rank(x)), pa.array(model.score(x))], ["doc_id", "rank", "score"])
 

@@ -151,20 +151,6 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _release() -> None:
-    """Give memory that a group or block has used back to the system: a worker outlives its tasks."""
-    import ctypes
-    import gc
-
-    _text.trim_power_table()
-    gc.collect(0)
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass  # another allocator, which needs no asking
-
-
 def _pack(data: np.ndarray | bytes) -> bytes:
     return zstandard.compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes(), 1)
 
@@ -210,7 +196,7 @@ def _count_samples(shards: int, text_col: str, id_col: str):
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "grp", "names", "many"])
                 del group, many, out
-        _release()
+        _text.release()
 
     return run
 
@@ -252,7 +238,7 @@ def _send_pieces(shards: int, text_col: str, id_col: str):
                 a, b = cut[s], cut[s + 1]
                 at = np.repeat(group.first[d[a:b]] - (total[a:b] - total[a]), sizes[a:b]) + np.arange(total[b] - total[a])
                 out.append((int(s), g, _pack(group.starts[d[a:b]].astype(np.uint8)), _pack((group.sample - group.first)[d[a:b]].astype(np.uint8)), _pack(group.low[a:b]), _pack(group.high[a:b]), _pack(group.buf[at])))
-        _release()
+        _text.release()
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
         columns = list(zip(*out, strict=True)) if out else [[]] * 7
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "grp", "starts", "before", "low", "high", "text"])
@@ -319,7 +305,7 @@ def _sort_block(table: pa.Table) -> pa.Table:
         out.append((r["grp"], r["shard"], np.packbits(h).tobytes(), _pack(values)))
         at += len(own)
     del part, least, inside, hit
-    _release()
+    _text.release()
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["grp", "shard", "hit", "mins"])
 
 
@@ -343,7 +329,7 @@ def _apply(shards: int, text_col: str, id_col: str, finish, schema: pa.Schema):
                 at = np.repeat(bounds[own] - (np.cumsum(starts[own]) - starts[own]), starts[own]) + np.arange(int(starts[own].sum()))
                 mins[at] = _unpack(r["mins"], np.int64)
             made.append(finish(batch, group.buf, group.offsets, group.removed(mins, bounds)))
-        _release()
+        _text.release()
         return pa.Table.from_batches(made, schema) if made else schema.empty_table()
 
     return run

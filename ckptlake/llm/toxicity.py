@@ -145,7 +145,7 @@ def _scorer(model: OrdinalModel):
     def run(batches):
         for batch in batches:
             parts = [model.exceed(model.latent(_text.Words(buf, offsets, _text.NOT_ALNUM))) for _, _, buf, offsets in _text.slices(batch.column("text"))]
-            _text.trim_power_table()
+            _text.release()
             p = np.concatenate(parts) if parts else np.zeros((0, len(model.cuts)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0])], ["doc_id", "severity", "grade", "p_toxic"]
@@ -168,7 +168,7 @@ def reject(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5, text_co
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             parts = [model.exceed(model.latent(_text.Words(buf, offsets, _text.NOT_ALNUM)))[:, 0] for _, _, buf, offsets in _text.slices(column)]
-            _text.trim_power_table()
+            _text.release()
             p = np.concatenate(parts) if parts else np.zeros(0)
             yield batch.filter(pa.array(p < threshold))
 
