@@ -231,7 +231,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     of_centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
     around = pairs.where("node <> centre").select("node", "centre").join(labels, "node", "left").join(of_centre, "centre", "left")
     around = around.select("centre", "node", F.coalesce("label", "node").alias("label"), (F.coalesce("label", "node") != F.coalesce("centre_label", "centre")).alias("left_out"))
-    spread = around.groupBy("centre").agg(F.ceil(F.sum(F.col("left_out").cast("int")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("parts"), F.count("*").alias("around")).where("blocks > 0 and around > 1")
+    spread = around.groupBy("centre").agg(F.ceil(F.sum(F.col("left_out").cast("int")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"), F.count("*").alias("around")).where("blocks > 0 and around > 1")
     around = around.join(spread, "centre").join(sets, "node")
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     inside = around.where("left_out").select("centre", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("inside"), "node", "label", "members")
