@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark) -> None:
-    """Give the executors this package, once an application: Spark's own file server hands it to whichever executor needs it."""
+    """Give the executors this package, once an application: Spark's own file server hands it to whichever executor needs it.
+
+    Arrow batches are made smaller too, unless the session sets their size itself.
+    """
     import tempfile
     import zipfile
     from pathlib import Path
 
+    if spark.conf.get(BATCH, "10000") == "10000":  # its default: tens of MB of text in one batch, on both sides
+        spark.conf.set(BATCH, "2000")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
