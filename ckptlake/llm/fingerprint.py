@@ -57,20 +57,28 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _text.select(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest string, n_bytes long")
 
 
+SALTS = 16
+
+
+def _beside(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows joined to their bucket's one row, each bucket dealt to SALTS partitions, since one digest may have a third of all rows."""
+    salted = buckets.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).drop("salt")
+
+
 def shared(found: DataFrame) -> DataFrame:
     """(doc_id, digest) of the rows whose bucket has more than one row. Counts are taken before the shuffle, so a bucket of any size costs a row a task."""
     buckets = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    return found.select("doc_id", "digest").join(buckets, "digest")
+    return _beside(found.select("doc_id", "digest"), buckets)
 
 
 def collisions(members: DataFrame) -> DataFrame:
     """(doc_id, digest, suffix) of members (doc_id, digest, form) whose canonical bytes differ from their bucket's first; form: zstd of the bytes.
 
-    Each member travels beside its bucket's first document by a join, which
-    Spark splits where one bucket is large.
+    Each member travels beside its bucket's first document by a join whose key is salted.
     """
     first = members.groupBy("digest").agg(F.min_by("form", F.struct("doc_id", "form")).alias("first_form"))
-    beside = members.join(first, "digest")
+    beside = _beside(members, first)
 
     def run(batches):
         for batch in batches:
