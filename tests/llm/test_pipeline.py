@@ -87,6 +87,12 @@ def test_contaminated_documents_go(spark, sf_dir, stages):
     assert ids(stages["bpe"]) == keep
 
 
+def test_a_document_with_one_whole_item_goes(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing of any item"), (3, None), (4, " ".join(alnum(item)[:7]))], "doc_id long, text string")
+    assert ids(corpus_pipeline.drop_contaminated(spark, docs, sf_dir)) == {2, 3, 4}
+
+
 def test_ids_are_the_library_s(stages):
     import public_tokenizers
     from tokenizers import Tokenizer
