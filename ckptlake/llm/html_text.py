@@ -52,6 +52,8 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 CLOSES["thead"] = CLOSES["tfoot"] = CLOSES["tbody"]
+#: What may stand in a colgroup; any other start tag ends it, and text does.
+IN_COLGROUP = frozenset("col template".split())
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -97,6 +99,8 @@ def parse(page: str) -> Node:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
+            if stack[-1].tag == "colgroup" and not text.isspace():
+                stack.pop()
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
@@ -132,6 +136,8 @@ def parse(page: str) -> Node:
             continue
         if len(stack) > 1 and stack[-1].tag == "head" and tag not in UNSEEN:
             stack.pop()
+        if stack[-1].tag == "colgroup" and tag not in IN_COLGROUP:
+            stack.pop()
         if tag in ENDS_P:
             close({"p"}, {"table", "td", "th", "caption", "button", "object"})
         if tag in CLOSES:
@@ -290,7 +296,9 @@ def _number(value: str | None, most: int) -> int:
 def _table(table: Node, deep: int) -> list[str]:
     """Caption, then rows of aligned cells. A column's cells are padded to its widest, up to 60 characters."""
     lines, rows, loose = [], [], []
-    for part in table.children:
+    todo = table.children[::-1]
+    while todo:
+        part = todo.pop()
         if isinstance(part, str):
             if part.strip():
                 loose.append(part)
@@ -298,7 +306,7 @@ def _table(table: Node, deep: int) -> list[str]:
             rows.append(part)
         elif part.tag in ("tbody", "thead", "tfoot"):
             if visible(part):
-                rows.extend(c for c in part.children if isinstance(c, Node) and c.tag == "tr")
+                todo.extend(reversed(part.children))
         elif part.tag != "colgroup":
             loose.append(part)
     if loose:

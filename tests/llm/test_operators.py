@@ -291,6 +291,24 @@ def test_html():
     assert text("<table><tr><td>" * 60 + "deep") == "deep"
 
 
+def test_html_colgroup_ends_without_its_tag():
+    text = html_text.page_text
+    for columns in ("<colgroup><col><col>", "<colgroup>\n <col><col>\n</colgroup>", "<colgroup><col><template>no</template>", "<colgroup><col><colgroup><col>"):
+        for body in ("<tr><td>a<td>b<tr><td>c", "<tbody><tr><td>a<td>b<tr><td>c", "<thead><tr><td>a<td>b<tbody><tr><td>c", "<td>a<td>b<tr><td>c"):
+            assert text(f"<table>{columns}{body}</table>z") == "a  b\nc\n\nz", (columns, body)
+    assert text("<table><colgroup>x<col><tr><td>a</table>") == "x\na"
+    assert text("<table><colgroup><p>x</p><tr><td>a</table>") == "x\na"
+
+
+def test_html_row_groups_keep_what_is_no_row():
+    text = html_text.page_text
+    for part in ("tbody", "thead", "tfoot"):
+        assert text(f"<table><{part}>x<tr><td>a<td>b</{part}></table>") == "x\na  b"
+        assert text(f"<table><{part}><div>x</div><tr><td>a</table>") == "x\na"
+        assert text(f"<table><{part}><form><tr><td>x</td></tr></form><tr><td>a</table>") == "x\na"
+        assert text(f"<table><{part} hidden>x<tr><td>a</{part}><tbody><tr><td>b</table>") == "b"
+
+
 def test_html_over_tables(spark):
     pages = spark.createDataFrame([(1, "<p>a"), (2, None), (3, ""), (3, "")], "page_id long, html string")
     assert sorted((r[0], r[1]) for r in html_text.extract(pages).collect()) == [(1, "a"), (2, ""), (3, ""), (3, "")]
