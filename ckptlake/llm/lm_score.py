@@ -257,13 +257,13 @@ def _neural(model: gru.Model, words: Vocabulary):
     return run
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1024, hidden: int = 16, stride: int = 4, rate: float = 0.02, shards: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1024, hidden: int = 16, stride: int = 1, rate: float = 0.02, shards: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     held_out: a condition on doc_id; such documents are scored but not learnt
     from. vocabulary: words of the recurrent model, a multiple of its class size.
     stride: the weights move at every stride-th window of a lane, while the state
-    goes through all of them.
+    goes through all of them; with 1 every training token is learnt from.
     """
     spark = docs.sparkSession
     base = _text.select(docs, id_col, text_col)

@@ -360,6 +360,15 @@ def test_recurrent_model_learns():
     assert gru.score(after, lanes, 40).sum() > 0.7 * gru.score(model, lanes, 40).sum() and losses[-1] < losses[0]
 
 
+def test_every_window_is_learnt_from(spark):
+    """Eight documents of two windows each in one lane: by default none of the windows is only run through."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(63)) for _ in range(8)]
+    frame = lambda t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").coalesce(1)
+    got = {stride: {i: r["score"] for i, r in by_id(lm_score.score(frame(texts), F.lit(False), vocabulary=64, **stride_of)).items()} for stride, stride_of in (("default", {}), (1, {"stride": 1}), (4, {"stride": 4}))}
+    assert got["default"] == got[1] and got["default"] != got[4]
+
+
 def labelled(spark, n=400):
     rng = random.Random(4)
     rows, labels = [], []
