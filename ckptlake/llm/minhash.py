@@ -217,7 +217,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
 
     used = pairs.groupBy("node").agg(F.lit(1).alias("one")).join(nodes.where("first_id is not null"), "node").select(F.col("first_id").alias("doc_id")).distinct()
     count = used.count()
-    picked = base.join(F.broadcast(used) if count <= BROADCAST_IDS else used, "doc_id")
+    picked = base.join(F.broadcast(used) if count <= BROADCAST_IDS else used, "doc_id").unionByName(base.where("doc_id is null"))  # some nodes have null ids alone
     sets = scratch.save(picked.select("text").mapInArrow(_sets(width), "node binary, members binary").dropDuplicates(["node"]), "sets")
 
     degree = edges.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))

@@ -157,6 +157,17 @@ def test_minhash_links_beside_the_centre(spark):
     assert {i: find(i) for i in range(300)} == {i: r["component_id"] for i, r in got.items()}
 
 
+def test_minhash_null_ids_as_centre_and_bridge(spark):
+    base = [f"w{k}" for k in range(120)]
+    changed = lambda *at: " ".join(f"e{k}" if k in at else w for k, w in enumerate(base))
+    # 1 and 2 differ too much; each is near the one between them, whose id is null.
+    rows = [(1, changed(20, 40)), (2, changed(80, 100)), (None, changed())]
+    assert {r["doc_id"]: r["component_id"] for r in minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()} == {1: 1, 2: 1, None: 1}
+    rows = [(k, changed(k, k + 60)) for k in range(5, 55, 5)] + [(None, changed()), (None, changed(110)), (None, None)]
+    got = minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got if r["n_shingles"]} == {5}
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
