@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ckptlake.llm import _text
 from ckptlake.llm.components import connected
@@ -198,6 +199,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B|.
     """
+    return _linked(docs, width, percent, id_col, text_col, bands).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, bands: int = BANDS) -> DataFrame:
+    """What groups gives, with each row's node and the label of its component (null without shingles)."""
     spark = docs.sparkSession
     base = _text.select(docs, id_col, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -243,15 +249,48 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
         further = connected(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("root"))
         of = of.join(further, "label", "left").withColumn("label", F.coalesce("root", "label"))
     least = of.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    found = of.join(least, "label").select("node", "component_id")
-    return signed.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = of.join(least, "label").select("node", "label", "component_id")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return signed.join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), "node", "label")
+
+
+def _with_nodes(text_col: str, width: int):
+    """Rows as they are, with the digest of their set."""
+
+    def run(batches):
+        for batch in batches:
+            nodes = []
+            for _, _, buf, offsets in _text.slices(batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_string())):
+                s, bounds = shingle_sets(buf, offsets, width)
+                nodes += [xxhash.xxh3_128_digest(s[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*batch.schema.names, "__node"])
+            _text.release()
+
+    return run
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that are the least of their component; of rows with one id, one stays."""
+    """The rows of docs, with all their columns, less all but one of each component: the row of least id, null ids last, then of least set digest, then of least text.
+
+    Of rows without shingles, those with one id are one document; those with null ids all stay.
+    """
     spark = docs.sparkSession
-    found = Scratch(spark, "near").save(groups(docs, width, percent, id_col, text_col), "groups")
+    found = Scratch(spark, "near").save(_linked(docs, width, percent, id_col, text_col), "groups")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    own = F.col(id_col).cast("long")
+    several = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__several")).count().where("count > 1").select("__several")
+    if not several.limit(1).count() and not found.where("doc_id is null").limit(1).count():
+        return docs.join(small(gone), own == F.col("__gone"), "left_anti")
+    # An id of one row tells that row; other rows are told by id and set.
+    several = small(several)
+    kept = docs.where(own.isNotNull()).join(several, own == F.col("__several"), "left_anti").join(small(gone), own == F.col("__gone"), "left_anti")
+    rest = docs.where(own.isNull()).unionByName(docs.join(several, own == F.col("__several"), "left_semi"))
+    rest = rest.mapInArrow(_with_nodes(text_col, width), StructType([*docs.schema.fields, StructField("__node", BinaryType())]))
+    firsts = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k"))
+    firsts = firsts.select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__first"))
+    nothing = F.col("__node") == F.lit(bytearray(xxhash.xxh3_128_digest(b"")))
+    full = rest.where(~nothing).join(firsts, own.eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__first")), "left_semi")
+    once = full.unionByName(rest.where(nothing & own.isNotNull())).groupBy(own.alias("__id"), "__node")
+    once = once.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__row")).select("__row.*")
+    return kept.unionByName(once).unionByName(rest.where(nothing & own.isNull()).select(*docs.columns))

@@ -168,6 +168,17 @@ def test_minhash_null_ids_as_centre_and_bridge(spark):
     assert len(got) == len(rows) and {r["component_id"] for r in got if r["n_shingles"]} == {5}
 
 
+def test_keep_first_decides_by_row(spark):
+    base = [f"w{k}" for k in range(120)]
+    text = lambda name, at=-1: " ".join(f"e{k}" if k == at else name + w for k, w in enumerate(base))
+    rows = [(7, text("a")), (7, text("b")), (7, text("b")), (8, text("b", 9)), (None, text("c")), (None, text("c")), (None, text("c", 5)), (None, text("d")), (9, text("e")), (None, text("e", 3)), (None, None), (None, ""), (3, ""), (3, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    kept = minhash.keep_first(docs, 5, 80)
+    got = collections.Counter((r["doc_id"], (r["text"] or "")[:2]) for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == {(7, "aw"): 1, (7, "bw"): 1, (None, "cw"): 1, (None, "dw"): 1, (9, "ew"): 1, (None, ""): 2, (3, ""): 1}
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
