@@ -2,9 +2,9 @@
 
 A rolling hash over the UTF-8 bytes cuts each text into chunks at places that
 depend on the sixteen bytes before them alone, so a passage that occurs in many
-documents gives the same chunks wherever it stands. A chunk is encoded once by a
-Python worker (the worker keeps chunks and words across its tasks, in bounded
-memory) and reused by every document that has it.
+documents gives the same chunks wherever it stands. A chunk is reused by the
+documents of one task, as long as the task's bounded memory of chunks holds it;
+across its tasks a Python worker keeps words and pre-tokens only.
 
 A cut may fall inside a word, so the encoding of chunks can't simply be joined.
 What a chunk keeps is the encoding of its words between its first and its last
