@@ -1,8 +1,9 @@
 """Walks over the commit graph and over chains of manifests.
 
 Edges are a relation (child, parent, ord). First-parent chains are recursive SQL
-with a bound. Closures over all parents go by frontier: a round joins the newest
-nodes with the edges and drops those seen, so diamonds cost each node once.
+with a bound, or pointers that are doubled. Closures over all parents go by
+frontier: a round joins the newest nodes with the edges and drops those seen, so
+diamonds cost each node once.
 """
 
 from __future__ import annotations
@@ -10,72 +11,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LAYERS = 8
+from ckptlake.store import Scratch, cut
 
+STRIDE = 16
 
-def shared_folder(spark) -> str:
-    """The cluster's folder for checkpoints, or one of this machine where none is set and the master is local."""
-    import tempfile
 
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="ckptlake-")
-    sc.setCheckpointDir(folder)
-    return folder
+def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth): every node that a root leads to, itself at 0, by the shortest way. Missing parents are nodes too."""
+    return _reach(edges, roots.select(F.col("node").alias("root"), "node").distinct(), ["root", "node"])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth): every node that some root leads to, by the shortest way from any. Each node is one row, however many roots lead to it."""
+    return _reach(edges, roots.select("node").distinct(), ["node"])
 
 
-def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, depth): every node that a root leads to, itself at 0, by the shortest way. Missing parents are nodes too."""
-    links = cut(edges.select("child", "parent").distinct())
-    layer = cut(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
+def _reach(edges: DataFrame, starts: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    scratch = Scratch(edges.sparkSession, "reach")
+    strides = _strides(edges, scratch)
+    layer, n = scratch.counted(starts.withColumn("depth", F.lit(0)), "layer")
     seen, depth = layer, 0
-    while layer.limit(1).count():
-        found = None
-        for _ in range(LAYERS):  # several layers are one job; only what is new in the last of them is gone on from
-            depth += 1
-            layer = layer.join(links, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node")).distinct().withColumn("depth", F.lit(depth))
-            found = layer if found is None else found.unionByName(layer)
-        new = cut(found.groupBy("root", "node").agg(F.min("depth").alias("depth")).join(seen, ["root", "node"], "left_anti"))
+    while n and (limit is None or depth < limit - 1):
+        new = _onward(layer, strides, keys).join(seen, keys, "left_anti")
+        depth += STRIDE
+        new, n = scratch.counted(new if limit is None else new.where(F.col("depth") < limit), "layer", f"depth = {depth}")
         layer = new.where(F.col("depth") == depth)
-        seen = cut(seen.unionByName(new))
+        seen = seen.unionByName(new)  # written tables, side by side
     return seen
 
 
+def _strides(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(child, far, steps): what each node leads to within STRIDE steps, and how near. The table is doubled from the edges, so a walk of many layers joins it once for STRIDE of them."""
+    table, steps = edges.select("child", F.col("parent").alias("far"), F.lit(1).alias("steps")).distinct(), 1
+    table = scratch.save(table, "strides")
+    while steps < STRIDE:
+        onward = table.select(F.col("child").alias("far"), F.col("far").alias("farther"), F.col("steps").alias("more"))
+        both = table.unionByName(table.join(onward, "far").select("child", F.col("farther").alias("far"), (F.col("steps") + F.col("more")).alias("steps")))
+        table, steps = scratch.save(both.groupBy("child", "far").agg(F.min("steps").alias("steps")), "strides"), 2 * steps
+    return table
+
+
+def _onward(layer: DataFrame, strides: DataFrame, keys: list[str]) -> DataFrame:
+    """What the nodes of a layer lead to within a stride. All of them have one depth, and every shortest way onward passes one of them."""
+    found = layer.join(strides, F.col("node") == F.col("child")).select(*keys[:-1], F.col("far").alias("node"), (F.col("depth") + F.col("steps")).alias("depth"))
+    return found.groupBy(*keys).agg(F.min("depth").alias("depth"))
+
+
 def first_parents(edges: DataFrame, tip, limit: int = 1000) -> DataFrame:
     """(depth, node) of the chain of first parents from tip, at most limit nodes, newest first."""
-    spark = edges.sparkSession
-    edges.where("ord = 0").createOrReplaceTempView("_first_edges")
-    kind = dict(edges.dtypes)["child"]
-    literal = f"cast('{tip}' as {kind})"
-    return spark.sql(
-        f"""WITH RECURSIVE chain (node, depth) MAX RECURSION LEVEL {limit + 1} AS (
-              SELECT {literal} AS node, 0 AS depth
-              UNION ALL
-              SELECT e.parent, c.depth + 1 FROM chain c JOIN _first_edges e ON e.child = c.node WHERE c.depth < {limit - 1})
-            SELECT depth, node FROM chain"""
-    )
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["child"]
+    first = edges.where("ord = 0").groupBy("child").agg(F.min("parent").alias("parent"))
+    return _reach(first, spark.createDataFrame([(tip,)], f"node {kind}"), ["node"], limit).select("depth", "node").orderBy("depth")
 
 
 def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(ours, theirs, node, ours_depth, theirs_depth): the nearest common ancestor of each pair (ours, theirs); of several, the least name. Pairs without one have no row."""
-    roots = pairs.select(F.col("ours").alias("node")).unionByName(pairs.select(F.col("theirs").alias("node"))).distinct()
-    all_ = ancestors(edges, roots)
-    a = pairs.join(all_.select(F.col("root").alias("ours"), "node", F.col("depth").alias("ours_depth")), "ours")
-    both = a.join(all_.select(F.col("root").alias("theirs"), "node", F.col("depth").alias("theirs_depth")), ["theirs", "node"])
-    best = F.min(F.struct((F.col("ours_depth") + F.col("theirs_depth")).alias("far"), "node", "ours_depth", "theirs_depth")).alias("b")
-    return both.groupBy("ours", "theirs").agg(best).select("ours", "theirs", "b.node", "b.ours_depth", "b.theirs_depth")
+    """(ours, theirs, node, ours_depth, theirs_depth): the nearest common ancestor of each pair (ours, theirs); of several, the least name. Pairs without one have no row.
+
+    Both sides are walked a few layers at a time. What is found from layer d on is
+    farther than d, so a pair whose best is at d or nearer is settled, and its
+    walks end there.
+    """
+    scratch, keys = Scratch(edges.sparkSession, "bases"), ["ours", "theirs", "own", "node"]
+    strides = _strides(edges, scratch)
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("ours").alias("node")), F.struct(F.lit(False).alias("own"), F.col("theirs").alias("node"))))
+    layer, n = scratch.counted(pairs.select("ours", "theirs", sides.alias("s")).select("ours", "theirs", "s.own", "s.node").distinct().withColumn("depth", F.lit(0)), "layer")
+    seen, depth = layer, 0
+
+    def best(seen):
+        met = seen.groupBy("ours", "theirs", "node").agg(F.min(F.when(F.col("own"), F.col("depth"))).alias("ours_depth"), F.min(F.when(~F.col("own"), F.col("depth"))).alias("theirs_depth"))
+        met = met.where("ours_depth is not null and theirs_depth is not null")
+        return met.groupBy("ours", "theirs").agg(F.min(F.struct((F.col("ours_depth") + F.col("theirs_depth")).alias("far"), "node", "ours_depth", "theirs_depth")).alias("b"))
+
+    while n:
+        new, depth = _onward(layer, strides, keys).join(seen, keys, "left_anti"), depth + STRIDE
+        new, n = scratch.counted(new, "layer", f"depth = {depth}")
+        seen = seen.unionByName(new)
+        settled = scratch.save(best(seen).where(F.col("b.far") <= depth).select("ours", "theirs"), "settled") if n else None
+        layer = new.where(F.col("depth") == depth).join(settled, ["ours", "theirs"], "left_anti") if n else None
+    return best(seen).select("ours", "theirs", "b.node", "b.ours_depth", "b.theirs_depth")
 
 
 def merge_base(edges: DataFrame, ours, theirs) -> DataFrame:
@@ -84,27 +97,89 @@ def merge_base(edges: DataFrame, ours, theirs) -> DataFrame:
     return merge_bases(edges, edges.sparkSession.createDataFrame([(ours, theirs)], f"ours {kind}, theirs {kind}")).drop("ours", "theirs")
 
 
-def chain_roots(bases: DataFrame, most: int = 64) -> DataFrame:
+def chain_roots(bases: DataFrame) -> DataFrame:
     """(manifest, root, hops) of residual chains (manifest, base): pointers are doubled, so a chain of n links takes log n joins."""
-    at = bases.select("manifest", F.coalesce("base", "manifest").alias("root"), F.col("base").isNotNull().cast("int").alias("hops"))
-    while most > 0:
+    return _doubled(bases.select("manifest", F.coalesce("base", "manifest").alias("root"), F.col("base").isNotNull().cast("int").alias("hops")), Scratch(bases.sparkSession, "chains"))[-1]
+
+
+def _doubled(pointers: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Pointers (manifest, root, hops) after 1, 2, 4 ... steps, until all stand at a root; one that leads out of the table stays there."""
+    at, n = scratch.counted(pointers, "pointers", "hops > 0")
+    tables = [at]
+    while n and len(tables) < 64:
         jump = at.select(F.col("manifest").alias("root"), F.col("root").alias("far"), F.col("hops").alias("more"))
-        at = cut(at.join(jump, "root", "left").select("manifest", F.coalesce("far", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
-        if not at.where("moved").limit(1).count():
-            break
+        step = at.join(jump, "root", "left").select("manifest", F.coalesce("far", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))
+        at, n = scratch.counted(step, "pointers", "moved")
         at = at.drop("moved")
-        most -= 1
-    return at.drop("moved")
+        if n:
+            tables.append(at)
+    return tables
+
+
+def nearest_full(commits: DataFrame) -> DataFrame:
+    """(node, anchor, since) of commits (node, parent, full): the last full commit at or before each along first parents (null without one), and the commits since."""
+    chains = commits.select(F.col("node").alias("manifest"), F.when(~F.col("full"), F.col("parent")).alias("base"))
+    full = commits.where("full").select(F.col("node").alias("root"), F.col("node").alias("anchor"))
+    return chain_roots(chains).join(full, "root", "left").select(F.col("manifest").alias("node"), "anchor", F.when(F.col("anchor").isNotNull(), F.col("hops")).otherwise(0).alias("since"))
+
+
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): the length of the longest way from a node to one without parents. Sent in ascending order, parents always come before their children.
+
+    First parents make a forest, in which depths come by doubling pointers. Another
+    parent lifts its child, and all that the child leads to in the forest, by what
+    it lies higher; lifts travel by the doubled pointers too. A round settles all
+    ways that leave the first parents once more, so rounds grow with how often the
+    longest way does that and not with its length.
+    """
+    scratch, own = Scratch(edges.sparkSession, "levels"), nodes.select("node").distinct()
+    up = edges.where("ord = 0").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("up"))
+    there = own.select(F.col("node").alias("up"), F.lit(True).alias("there"))
+    first = own.join(up, "node", "left").join(there, "up", "left").select(F.col("node").alias("manifest"), F.when(F.col("there"), F.col("up")).otherwise(F.col("node")).alias("root"), F.coalesce("there", F.lit(False)).cast("int").alias("hops"))
+    jumps = _doubled(first, scratch)
+    level = jumps[-1].select(F.col("manifest").alias("node"), F.col("hops").alias("level"))
+    others = scratch.save(edges.join(jumps[0].select(F.col("manifest").alias("child"), "root", "hops"), "child").where("hops = 0 or parent <> root").select("child", "parent").distinct(), "others")
+    while True:
+        of = lambda end: level.select(F.col("node").alias(end), F.col("level").alias(f"{end}_level"))  # noqa: B023, E731
+        lift = others.join(of("parent"), "parent").join(of("child"), "child").where("parent_level >= child_level").groupBy(F.col("child").alias("node")).agg((F.max("parent_level") + 1).alias("level"))
+        lift, n = scratch.counted(lift, "lift")
+        if not n:
+            return level
+        level = scratch.save(level.unionByName(lift).groupBy("node").agg(F.max("level").alias("level")), "level")
+        for jump in jumps:
+            above = jump.join(level.select(F.col("node").alias("root"), F.col("level").alias("from")), "root").select(F.col("manifest").alias("node"), (F.col("from") + F.col("hops")).alias("level"))
+            level = scratch.save(level.unionByName(above).groupBy("node").agg(F.max("level").alias("level")), "level")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component. Labels spread over edges and jump over labels until none moves."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    links = cut(both)
-    labels = cut(nodes.select("node", F.col("node").alias("label")).distinct())
+    """(node, label): the least node of each component of edges (a, b), isolated nodes included."""
+    every = nodes.select("node").unionByName(edges.select(F.col("a").alias("node"))).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    return hooked(edges, every, Scratch(edges.sparkSession, "components"))
+
+
+def hooked(edges: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) by hooking and jumping.
+
+    Every node has a parent of its component, no greater than itself. A round gives
+    each node, and each node's parent too, the least grandparent that its
+    neighbours have, and jumps to its own grandparent. Parents that hook pull
+    whole trees along, so rounds grow with the logarithm of the longest path
+    (14 for a path of 4,000 in the worst order). Labels meet in partial aggregates;
+    no node's neighbours are gathered.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = scratch.save(both.where("a <> b").distinct(), "links")
+    near = links.groupBy("a").agg(F.min("b").alias("m"))
+    first = nodes.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("node", F.coalesce("m", "node")).alias("f"))
+    parents = scratch.save(first, "parents")
     while True:
-        reach = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))).unionByName(labels.select(F.col("node").alias("a"), F.col("node").alias("b")))
-        after = cut(reach.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old")))
-        labels = after.select("node", "label")
-        if not after.where("label <> old").limit(1).count():
-            return labels
+        up = parents.select(F.col("node").alias("f"), F.col("f").alias("gf"))
+        grand = parents.join(up, "f").select("node", "f", "gf")
+        least = links.join(grand.select(F.col("node").alias("b"), "gf"), "b").groupBy(F.col("a").alias("node")).agg(F.min("gf").alias("m"))
+        seen = grand.join(least, "node", "left").select("node", "f", F.least("f", "gf", F.coalesce("m", "gf")).alias("m"))
+        told = seen.select("node", "m", F.col("f").alias("old")).unionByName(seen.select(F.col("f").alias("node"), "m", F.lit(None).cast(dict(seen.dtypes)["f"]).alias("old")))
+        after, n = scratch.counted(told.groupBy("node").agg(F.min("m").alias("f"), F.max("old").alias("old")), "parents", "f <> old")
+        scratch.drop(parents)
+        parents = after
+        if not n:
+            return after.select("node", F.col("f").alias("label"))

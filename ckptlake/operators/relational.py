@@ -194,11 +194,6 @@ def calibrate(measured: DataFrame, alike: Column, value: str) -> DataFrame:
     return ends.withColumn("threshold", F.sqrt(F.col("worst_alike") * F.col("best_other"))).withColumn("separable", F.col("worst_alike") < F.col("best_other"))
 
 
-def dependency_levels(depths: DataFrame) -> DataFrame:
-    """Nodes in the order in which they can be sent: the farthest from the tip first."""
-    return depths.groupBy("node").agg(F.max("depth").alias("level")).orderBy(F.desc("level"), "node")
-
-
 def first_failures(failures: DataFrame, most: int, order: list[str]) -> DataFrame:
     """At most so many failures, with a mark if there were more."""
     top = failures.orderBy(*order).limit(most + 1).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))

@@ -119,9 +119,9 @@ def _tips(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max("event_id").alias("node"))
 
 
-_EDGES = """l AS (SELECT event_id AS child, lag(event_id) OVER w AS b, lag(event_id, 7) OVER w AS s, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-  e AS (SELECT child, coalesce(b, child - 1) AS parent, 0 AS ord FROM l WHERE coalesce(b, child - 1) >= 0 UNION ALL SELECT child, s, 1 FROM l WHERE n % 10 = 0 AND s IS NOT NULL),
-  tips AS (SELECT user_id, max(event_id) AS node FROM events GROUP BY 1),
+_LINKS = """l AS (SELECT event_id AS child, lag(event_id) OVER w AS b, lag(event_id, 7) OVER w AS s, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  e AS (SELECT child, coalesce(b, child - 1) AS parent, 0 AS ord FROM l WHERE coalesce(b, child - 1) >= 0 UNION ALL SELECT child, s, 1 FROM l WHERE n % 10 = 0 AND s IS NOT NULL)"""
+_EDGES = _LINKS + """, tips AS (SELECT user_id, max(event_id) AS node FROM events GROUP BY 1),
   a AS (SELECT node AS root, node, 0 AS depth FROM tips UNION SELECT a.root, e.parent, a.depth + 1 FROM a JOIN e ON e.child = a.node),
   near AS (SELECT root, node, min(depth) AS depth FROM a GROUP BY 1, 2)"""
 
@@ -358,29 +358,24 @@ def chunk_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.groupBy("label").agg(F.count("*").alias("n"), F.sum("plain").alias("plain_bytes"), F.sum("stored").alias("stored_bytes"), F.bool_and("exact").alias("exact"))
 
 
-@query(None)
+@query("SELECT label, count(*) AS n_units, 1.0::DOUBLE AS accuracy FROM embeddings GROUP BY 1")
 def recovery_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hidden permutation of each label's vectors, found again by assignment: a group a label, solved on the executors in blocks of 64 units."""
+    """A hidden permutation of all vectors of each label, found again by assignment: a label is a layer, whose width bounds the group, and a group is solved by one executor. No two vectors are equal, so SQL expects all back."""
     import pyarrow as pa
 
     from ckptlake.operators import align
 
-    v = _read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    unit = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    groups = v.withColumn("unit", unit).withColumn("part", F.floor(F.col("unit") / 64).cast("int"))
-
     def solve(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        order = np.argsort(table["unit"].to_numpy())
+        order = np.argsort(table["vec_id"].to_numpy())
         base = np.array(table["embedding"].to_pylist(), np.float32)[order]
         n = len(base)
         truth = np.random.default_rng(n).permutation(n)
         found = align.assign(align.unit_scores([("row", 1, base[truth], base)], n))
-        return pa.table({"label": pa.array([table["label"][0].as_py()], pa.int32()), "part": pa.array([table["part"][0].as_py()], pa.int32()), "size": pa.array([n], pa.int64()), "hits": pa.array([int((found == truth).sum())], pa.int64())})
+        return pa.table({"label": pa.array([table["label"][0].as_py()], pa.int32()), "n_units": pa.array([n], pa.int64()), "accuracy": [float((found == truth).mean())]})
 
-    solved = groups.groupBy("label", "part").applyInArrow(solve, "label int, part int, size long, hits long")
-    return solved.groupBy("label").agg(F.sum("size").alias("n_units"), (F.sum("hits") / F.sum("size")).alias("accuracy"))
+    return _read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInArrow(solve, "label int, n_units long, accuracy double")
 
 
 @query("""WITH c AS (SELECT user_id AS branch, event_id AS seq, event_id % 4 = 0 AS f, min(event_id) OVER (PARTITION BY user_id) AS lo FROM events), s AS (SELECT *, sum(CASE WHEN f OR seq = lo THEN 1 ELSE 0 END) OVER (PARTITION BY branch ORDER BY seq ROWS UNBOUNDED PRECEDING) AS star FROM c)
@@ -389,7 +384,7 @@ def stream_commit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commit log as a stream: per-branch commits since the last full one, after all that is there."""
     import uuid
 
-    from ckptlake.operators.dag import shared_folder
+    from ckptlake.store import shared_dir
     from ckptlake.streaming.ingest import branch_state
 
     ship(spark)
@@ -398,7 +393,7 @@ def stream_commit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _, file = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
     commits = stream.select(F.col("user_id").alias("branch"), F.col("event_id").alias("seq"), (F.col("event_id") % 4 == 0).alias("full"))
-    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/state/batch={number}")
@@ -434,10 +429,16 @@ def layer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.layer_pairs(_read(spark, sf_dir, "events").select("user_id", "event_id"), "event_id", "user_id")
 
 
-@query(f"WITH RECURSIVE {_EDGES} SELECT node, max(depth) AS level FROM near GROUP BY 1")
+@query(f"""WITH RECURSIVE {_LINKS}, lv AS (SELECT event_id AS node, 0 AS level FROM events WHERE event_id NOT IN (SELECT child FROM e) UNION SELECT e.child, lv.level + 1 FROM lv JOIN e ON e.parent = lv.node)
+  SELECT node, max(level) AS level, (SELECT count(*) FROM (SELECT node, max(level) AS n FROM lv GROUP BY 1) c JOIN e ON e.child = c.node JOIN (SELECT node, max(level) AS n FROM lv GROUP BY 1) p ON p.node = e.parent WHERE p.n >= c.n) AS out_of_order FROM lv GROUP BY node""")
 def sync_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a peer is sent commits: by level, which puts every parent before its children; and how many edges that breaks."""
     events = _read(spark, sf_dir, "events").select("event_id", "user_id")
-    return relational.dependency_levels(dag.ancestors(_edges(events), _tips(events).select("node")))
+    edges = dag.cut(_edges(events))
+    found = dag.levels(edges, events.select(F.col("event_id").alias("node")))
+    parent, child = (found.select(F.col("node").alias(n), F.col("level").alias(f"{n}_level")) for n in ("parent", "child"))
+    broken = edges.join(parent, "parent").join(child, "child").where("parent_level >= child_level").agg(F.count("*").alias("out_of_order"))
+    return found.select("node", F.col("level").cast("int").alias("level")).join(F.broadcast(broken))  # one row
 
 
 @query("""SELECT n_name, array_to_string(list_transform(regexp_extract_all(n_name || n_nationkey, '(\\d+|\\D+)', 1), lambda p: CASE WHEN regexp_matches(p, '^\\d+$') THEN '0' || lpad(p, 20, '0') ELSE '1' || p END), '/') AS sort_key, CASE WHEN n_nationkey >= 10 THEN 'linear' ELSE 'norm' END AS kind, CAST(length(n_name) AS BIGINT) AS n FROM nation""")
