@@ -7,28 +7,35 @@ once, and what is found is mapped back to words and to byte ranges of the
 original text.
 
 The items are read by the driver in blocks of at most ``block_bytes`` of
-normalised windows; each block's automaton is broadcast and its pass over the
-documents is merged with the others by document. A benchmark of ordinary size is
-one block and one pass without any shuffle.
+normalised windows, one block at a time. Each block's automaton is broadcast and
+its pass adds what it finds to the rows themselves, which are written between
+passes; so a row keeps its own hits whatever its id, and any number of blocks
+gives the same result. A benchmark of ordinary size is one block and one pass
+without any shuffle.
 
 Defined cases: null or empty texts and items have no words, hit nothing and are
 hit by nothing; an item whose windows another item also has counts for both;
-repeated item rows count once, repeated documents alike; an empty benchmark
-leaves every document clean; other columns are ignored, or passed through by
-:func:`drop_contaminated` whatever their names.
+repeated item rows count once; windows of items with a null id hit words, but
+such an item has no name to be listed or counted by (for
+:func:`drop_contaminated` all of them are one more item); repeated documents and
+null document ids are rows like others; an empty benchmark leaves every document
+clean; other columns are ignored, or passed through by :func:`drop_contaminated`
+whatever their names, but two columns may not both bear the text's name.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ckptlake.llm import _text
+from ckptlake.llm.store import Scratch
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 HITS = "array<struct<item_id:long,first_word:long,last_word:long>>"
@@ -39,14 +46,14 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_text.ALNUM_OR_BLANK).split()
 
 
-def windows(items, width: int) -> dict[str, list[int]]:
+def windows(items, width: int) -> dict[str, list[int | None]]:
     """Pattern -> the items that have it; items: (id, text)."""
     found: dict[str, set[int]] = {}
     for item, text in items:
         words = normal_words((text or "").encode())
         for at in range(max(1, len(words) - width + 1) if words else 0):
             found.setdefault(f" {b' '.join(words[at : at + width]).decode('latin-1')} ", set()).add(item)
-    return {k: sorted(v) for k, v in found.items()}
+    return {k: sorted(v, key=lambda i: (i is None, i or 0)) for k, v in found.items()}
 
 
 class Scanner:
@@ -84,10 +91,10 @@ def summary(n_words: int, hits: list[tuple[int, int, int]]) -> tuple[int, list[i
     if not hits:
         return 0, []
     edge = np.zeros(n_words + 1, np.int64)
-    at = np.array(hits, np.int64)
-    np.add.at(edge, at[:, 1], 1)
-    np.add.at(edge, at[:, 2] + 1, -1)
-    return int((np.cumsum(edge[:-1]) > 0).sum()), sorted({h[0] for h in hits})
+    at = np.array([h[1:] for h in hits], np.int64)
+    np.add.at(edge, at[:, 0], 1)
+    np.add.at(edge, at[:, 1] + 1, -1)
+    return int((np.cumsum(edge[:-1]) > 0).sum()), sorted({h[0] for h in hits} - {None})
 
 
 def byte_spans(text: bytes, hits: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -103,93 +110,78 @@ def byte_spans(text: bytes, hits: list[tuple[int, int, int]]) -> list[tuple[int,
     return [(a, b) for a, b, _ in spans]
 
 
-def _blocks(items: DataFrame, item_id: str, text_col: str, width: int, block_bytes: int) -> list[dict[str, list[int]]]:
+def _blocks(items: DataFrame, item_id: str, text_col: str, width: int, block_bytes: int) -> Iterator[dict[str, list[int | None]]]:
+    """The windows of the items, block by block; rows are dealt by id and text, so a block's size doesn't hang on ids being there."""
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    size = (rows.agg(F.sum(F.length("t"))).first()[0] or 0) * width
+    size = (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) * width
     count = max(1, -(-size // block_bytes))
-    blocks = []
     for k in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k)
-        blocks.append(windows(part.where("i is not null").collect(), width))
-    return blocks
+        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
+        yield windows(part.collect(), width)
 
 
-def find(docs: DataFrame, items: DataFrame, width: int = 8, block_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans) of every document: the items that occur, and merged byte ranges of the original."""
-    chosen = _text.select(docs, id_col, text_col)
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(items, item_id, item_text, width, block_bytes)]
-    schema = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<begin:long,end:long>>"
-    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-
-    def rows_of(batches, patterns, finish):
-        scanner = Scanner(patterns)
-        for batch in batches:
-            for at, to, buf, offsets in _text.slices(batch.column("text")):
-                data, bounds = buf.tobytes(), offsets.tolist()
-                yield batch.column("doc_id").slice(at, to - at), [finish(text := data[a:b], *scanner.scan(text)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            _text.release()
-
-    def complete(text, n, hits):
-        n_hit, found = summary(n, hits)
-        return n, n_hit, found, [{"begin": a, "end": b} for a, b in byte_spans(text, hits)] if hits else []
-
-    if len(blocks) == 1:
+def _passes(docs: DataFrame, text_col: str, blocks: Iterator[dict[str, list[int | None]]]) -> DataFrame:
+    """The rows with what all blocks find in them: a column of hits, __hits. A pass for each block; the rows are written between passes."""
+    sc, scratch = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "windows")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__hits", T._parse_datatype_string(HITS))])
 
+    def one(patterns):
         def run(batches):
-            for ids, got in rows_of(batches, blocks[0].value, complete):
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), span)))], ["doc_id", "n_words", "n_hit", "items", "spans"]
-                )
-
-        return chosen.mapInArrow(run, schema)
-
-    def passes(block):
-        def run(batches):
-            for ids, got in rows_of(batches, block.value, lambda text, n, hits: (n, [{"item_id": i, "first_word": f, "last_word": t} for i, f, t in hits])):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], _HIT)], ["doc_id", "n_words", "hits"])
+            scanner = Scanner(patterns.value)
+            for batch in batches:
+                names = batch.schema.names
+                found = batch.column(names.index("__hits")).to_pylist() if "__hits" in names else [[] for _ in range(batch.num_rows)]
+                at = 0
+                for _, _, buf, offsets in _text.slices(batch.column(names.index(text_col))):
+                    data, bounds = buf.tobytes(), offsets.tolist()
+                    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                        found[at] = found[at] + [{"item_id": i, "first_word": f, "last_word": t} for i, f, t in scanner.scan(data[a:b])[1]]
+                        at += 1
+                kept = [c for n, c in zip(names, batch.columns, strict=True) if n != "__hits"]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, _HIT)], schema.names)
+                _text.release()
 
         return run
 
-    parts = [chosen.mapInArrow(passes(b), f"doc_id long, n_words long, hits {HITS}").where("size(hits) > 0") for b in blocks]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    hits = union.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    joined = chosen.join(hits, "doc_id", "left")
-
-    def merge(batches):
-        for batch in batches:
-            out = []
-            for text, hit in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                data = (text or "").encode()
-                n = len(normal_words(data))
-                out.append(complete(data, n, [(h["item_id"], h["first_word"], h["last_word"]) for h in hit or [] if h["last_word"] < n]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([g[k] for g in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), span)))], ["doc_id", "n_words", "n_hit", "items", "spans"]
-            )
-
-    return joined.mapInArrow(merge, schema)
-
+    rows, before = docs, None
+    for patterns in blocks:
+        if before is not None:
+            saved = scratch.save(rows, "rows")
+            before.unpersist()
+            rows = saved
+        before = sc.broadcast(patterns)
+        rows = rows.mapInArrow(one(before), schema)
+    return rows
 
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, least_items: int = 2, width: int = 8, block_bytes: int = 48 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, in which fewer than least_items items occur."""
-    _text.ship(docs.sparkSession)
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text, width, block_bytes)]
+def find(docs: DataFrame, items: DataFrame, width: int = 8, block_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans) of every document: the items that occur, and merged byte ranges of the original."""
+    found = _passes(_text.select(docs, id_col, text_col), "text", _blocks(items, item_id, item_text, width, block_bytes))
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), span)
 
     def run(batches):
-        scanners = [Scanner(b.value) for b in blocks]
         for batch in batches:
-            keep = []
-            for _, _, buf, offsets in _text.slices(batch.column(batch.schema.get_field_index(text_col))):
+            hits = batch.column("__hits").to_pylist()
+            out, at = [], 0
+            for _, _, buf, offsets in _text.slices(batch.column("text")):
                 data, bounds = buf.tobytes(), offsets.tolist()
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    keep.append(len({h[0] for s in scanners for h in s.scan(data[a:b])[1]}) < least_items)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                    own = [(h["item_id"], h["first_word"], h["last_word"]) for h in hits[at]]
+                    n = len(normal_words(data[a:b]))
+                    out.append((n, *summary(n, own), [{"begin": x, "end": y} for x, y in byte_spans(data[a:b], own)] if own else []))
+                    at += 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([g[k] for g in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_words", "n_hit", "items", "spans"])
             _text.release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<begin:long,end:long>>")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, least_items: int = 2, width: int = 8, block_bytes: int = 48 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which fewer than least_items items occur."""
+    if docs.columns.count(text_col) != 1 or "__hits" in docs.columns:
+        raise ValueError(f"one column {text_col} is needed, and none named __hits")
+    _text.ship(docs.sparkSession)
+    found = _passes(docs, text_col, _blocks(items, item_id, item_text, width, block_bytes))
+    items_of = F.array_distinct(F.transform("__hits", lambda h: F.coalesce(h["item_id"].cast("string"), F.lit(""))))
+    return found.where(F.size(items_of) < least_items).drop("__hits")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ckptlake.llm import _text
-from ckptlake.llm.store import Scratch
+from ckptlake.llm.store import Scratch, beside
 
 
 def canonical(text: str) -> bytes:
@@ -57,19 +57,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _text.select(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest string, n_bytes long")
 
 
-SALTS = 16
-
-
-def _beside(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Rows joined to their bucket's one row, each bucket dealt to SALTS partitions, since one digest may have a third of all rows."""
-    salted = buckets.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).drop("salt")
-
-
 def shared(found: DataFrame) -> DataFrame:
     """(doc_id, digest) of the rows whose bucket has more than one row. Counts are taken before the shuffle, so a bucket of any size costs a row a task."""
     buckets = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    return _beside(found.select("doc_id", "digest"), buckets)
+    return beside(found.select("doc_id", "digest"), buckets, "digest", F.col("doc_id"))
 
 
 def collisions(members: DataFrame) -> DataFrame:
@@ -78,7 +69,7 @@ def collisions(members: DataFrame) -> DataFrame:
     Each member travels beside its bucket's first document by a join whose key is salted.
     """
     first = members.groupBy("digest").agg(F.min_by("form", F.struct("doc_id", "form")).alias("first_form"))
-    beside = _beside(members, first)
+    paired = beside(members, first, "digest", F.col("doc_id"))
 
     def run(batches):
         for batch in batches:
@@ -89,7 +80,7 @@ def collisions(members: DataFrame) -> DataFrame:
                     out.append((i, d, "-" + hashlib.sha256(a).hexdigest()))
             yield pa.RecordBatch.from_pylist([{"doc_id": i, "digest": d, "suffix": s} for i, d, s in out], pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("suffix", pa.string())]))
 
-    return beside.mapInArrow(run, "doc_id long, digest string, suffix string")
+    return paired.mapInArrow(run, "doc_id long, digest string, suffix string")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

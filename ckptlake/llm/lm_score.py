@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ckptlake.llm import _text, gru
-from ckptlake.llm.store import Scratch
+from ckptlake.llm.store import Scratch, shards_for
 
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a document; no word
 GROUP_TOKENS = 2_000_000
 GROUP_ROWS = 50_000
+#: Text whose words make one shard, on average: their hashes and places take about as much again.
+SHARD_BYTES = 16 << 20
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +270,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     base = _text.select(docs, id_col, text_col)
     base = base.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_for(base, SHARD_BYTES)
     scratch = Scratch(spark, "lm")
     replies = scratch.save(base.mapInArrow(_deal(shards), _BLOB).groupBy("shard").applyInArrow(_reduce(vocabulary), _REPLY), "replies")
     totals = replies.where("kind = 1").agg(F.sum("count").alias("n"), F.sum("grp").alias("v")).first()

@@ -13,7 +13,8 @@ members of each bucket that still are in another component than its centre are
 held, in blocks of ``BLOCK``, against all members that share a bucket with the
 centre: every pair of one bucket ends in one component or has been compared.
 
-Equal sets are one node from the start, however many documents have them. Bands
+Equal sets are one node from the start, however many documents have them; joins by
+bucket, centre and component are salted by node. Bands
 and rows are chosen so that a pair at the threshold is missed by all bands with a
 probability of at most ``MISS``.
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ckptlake.llm import _text
-from ckptlake.llm.components import connected
-from ckptlake.llm.store import Scratch
+from ckptlake.llm.store import Scratch, beside
+from ckptlake.operators.dag import hooked
 
 BANDS = 32
 MISS = 1e-6
@@ -194,6 +195,11 @@ def _against_block(percent: int):
     return run
 
 
+def _connected(links: DataFrame, scratch: Scratch) -> DataFrame:
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    return hooked(links, ends, scratch)
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the set's size, and the least id that links lead to.
 
@@ -214,10 +220,10 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
 
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = scratch.save(entries.join(sizes, "bucket"), "shared")
+    shared = scratch.save(beside(entries, sizes, "bucket", F.col("node")), "shared")
     popular = shared.groupBy("node").agg(F.sum("size").alias("popular"))
     centres = shared.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("popular", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    pairs = scratch.save(shared.join(centres, "bucket").select("node", "n", "centre", "centre_n").distinct(), "pairs")
+    pairs = scratch.save(beside(shared, centres, "bucket", F.col("node")).select("node", "n", "centre", "centre_n").distinct(), "pairs")
     alike = (F.col("node") != F.col("centre")) & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
     edges = pairs.where(alike).select("node", "centre")
 
@@ -229,16 +235,16 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     degree = edges.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     # A centre's set goes to each of its parts; a member goes to one part.
     hubs = degree.join(sets, degree.centre == sets.node).select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("node"), "members")
-    spokes = edges.join(degree, "centre").join(sets, "node").select("centre", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "members")
+    spokes = beside(edges, degree, "centre", F.col("node")).join(sets, "node").select("centre", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "members")
     meet = hubs.unionByName(spokes).repartition(parts, "centre", "part").sortWithinPartitions("centre", "part", F.col("node").isNotNull())
     links = scratch.save(meet.mapInArrow(_against_centre(percent), "a binary, b binary"), "links")
 
-    labels = connected(links, scratch)
+    labels = _connected(links, scratch)
     of_centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-    around = pairs.where("node <> centre").select("node", "centre").join(labels, "node", "left").join(of_centre, "centre", "left")
-    around = around.select("centre", "node", F.coalesce("label", "node").alias("label"), (F.coalesce("label", "node") != F.coalesce("centre_label", "centre")).alias("left_out"))
+    around = pairs.where("node <> centre").select("node", "centre").join(labels, "node", "left")
+    around = beside(around, of_centre, "centre", F.col("node"), "left").select("centre", "node", F.coalesce("label", "node").alias("label"), (F.coalesce("label", "node") != F.coalesce("centre_label", "centre")).alias("left_out"))
     spread = around.groupBy("centre").agg(F.ceil(F.sum(F.col("left_out").cast("int")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"), F.count("*").alias("around")).where("blocks > 0 and around > 1")
-    around = around.join(spread, "centre").join(sets, "node")
+    around = beside(around, spread, "centre", F.col("node")).join(sets, "node")
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     inside = around.where("left_out").select("centre", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("inside"), "node", "label", "members")
     outside = around.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("inside"), "node", "label", "members")
@@ -246,10 +252,11 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     more = scratch.save(held.mapInArrow(_against_block(percent), "a binary, b binary"), "more")
     of = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     if more.limit(1).count():
-        further = connected(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        further = _connected(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("root"))
         of = of.join(further, "label", "left").withColumn("label", F.coalesce("root", "label"))
     least = of.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    found = of.join(least, "label").select("node", "label", "component_id")
+    found = scratch.save(beside(of, least, "label", F.col("node")).select("node", "label", "component_id"), "found")
+    scratch.drop(nodes, shared, pairs, sets, links, more)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return signed.join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), "node", "label")
 

@@ -12,8 +12,8 @@ Only the fit uses a bounded sample of labelled rows; scoring reads every whole
 text once, without a shuffle. Labels, language, source and id are no features.
 
 Defined cases: null counts as empty text; an empty text gets the score of the
-zero statistics; repeated rows score alike; null labels are left out; with one
-kind of label only, all scores are its share; other columns are ignored.
+zero statistics; repeated rows score alike; null labels are left out, and of
+several labels of one id the lower counts; with one kind of label only, all scores are its share; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,8 +120,9 @@ def _vectors(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, **more) -> PairModel:
     """Learn from docs (doc_id, text) and labels (doc_id, quality); sample_rows bounds the sample: the labelled rows whose id has the least hash."""
-    rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    picked = _text.select(docs).join(F.broadcast(rows.dropDuplicates(["doc_id"])), "doc_id")
+    rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    picked = _text.select(docs).join(F.broadcast(rows), "doc_id")
     got = picked.select("y", "text").mapInArrow(_vectors, "y int, x array<double>").toArrow()
     if not got.num_rows:
         return PairModel(np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0)

@@ -10,8 +10,6 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,4 +87,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_minhash, op4_html, op5_decontaminate, op6_lm, op7_fingerprint, op8_suffix_dedup, op9_licenses, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}

@@ -1,54 +1,27 @@
-"""Tables between steps, in the folder that the cluster names for checkpoints.
-
-A written table cuts lineage and survives lost executors. The folder is read
-from the session's ``spark.checkpoint.dir``; a folder of this machine is used
-only where the setting is unset and the master is local, as in tests.
-"""
+"""Tables between steps, as in ``ckptlake.store``, and what operators do with hot keys and sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def shared_dir(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="ckptlake-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from ckptlake.store import Scratch
 
+__all__ = ["Scratch", "beside", "shards_for", "text_bytes"]
+SALTS = 16
 
-class Scratch:
-    """Tables of one run of an operator, under a folder of its own."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+def beside(rows: DataFrame, one: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """Rows joined to the one row of ``one`` that has their key, each key dealt to SALTS partitions by ``by``, since one key may have a third of all rows."""
+    salted = one.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
 
-    def path(self, name: str) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts: one pass in the JVM."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
 
-    def drop(self, name: str | None = None) -> None:
-        """Delete the folder; only for tables that no returned frame reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name or self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def drop_table(self, df: DataFrame) -> None:
-        files = df.inputFiles()
-        if files:
-            self.drop(files[0].rpartition("/")[0])
+def shards_for(docs: DataFrame, bytes_a_shard: int, text_col: str = "text") -> int:
+    """How many shards keep a shard's part of the texts near a size, whatever the texts' sum; at least two a shuffle partition."""
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, text_col) // bytes_a_shard))

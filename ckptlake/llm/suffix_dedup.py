@@ -46,13 +46,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ckptlake.llm import _text
-from ckptlake.llm.store import Scratch
+from ckptlake.llm.store import Scratch, shards_for
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 GROUP_BYTES = 3 << 19
 CHUNK = 1 << 19
 TOP = np.iinfo(np.int64).max
+#: Text whose pieces make one block, on average; a block is ranked in memory.
+SHARD_BYTES = 48 << 20
 
 
 def samples(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,15 +339,13 @@ def _apply(shards: int, text_col: str, id_col: str, finish, schema: pa.Schema):
 
 def spans_of(gone: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each row the (begin, end) of its maximal removed runs, in bytes from its start."""
-    edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         own = gone[a:b]
         if not own.any():
             out.append(np.zeros((0, 2), np.int64))
             continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-        out.append(edge.reshape(-1, 2))
+        out.append(np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).reshape(-1, 2))
     return out
 
 
@@ -360,7 +360,7 @@ def _run(docs: DataFrame, finish, schema: T.StructType, id_col: str, text_col: s
 
     spark = docs.sparkSession
     _text.ship(spark)
-    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_for(docs, SHARD_BYTES, text_col)
     scratch = Scratch(spark, "suffixes")
     groups = scratch.save(docs.mapInArrow(_form_groups(text_col), "grp long, rows binary"), "groups")
     sent = groups.mapInArrow(_count_samples(shards, text_col, id_col), "shard int, grp long, names binary, many binary")

@@ -10,8 +10,9 @@ reads every whole text in one pass without a shuffle.
 
 Defined cases: null or empty text has no words and gets the severity of the
 bare cuts (below every sensible threshold); repeated rows are scored alike;
-labels that are null are left out of the fit; without labelled toxic rows the
-model has no words and grades everything 0; other columns of the input are
+labels that are null are left out of the fit; of several labels of one id the
+gravest grade counts; without labelled toxic rows the model has no words and
+grades everything 0; other columns of the input are
 ignored, or, in :func:`reject`, passed through whatever their names.
 """
 
@@ -70,31 +71,36 @@ def _row_words(batches):
             )
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, grades: int = 3, vocabulary: int = 1024, share: float = 0.02, l2: float = 1e-5, steps: int = 400) -> OrdinalModel:
-    """Learn from docs (doc_id, text) and labels (doc_id, toxic).
+def grades(labels: DataFrame) -> Column:
+    """The grade of a labelled row, from its labels alone: as it is where they have several grades; else 0 not toxic, 1 toxic, 2 toxic in a text of low quality, where quality is labelled."""
+    toxic = F.col("toxic").cast("int")
+    return F.when((toxic == 1) & (F.col("quality").cast("int") == 0), 2).otherwise(toxic) if "quality" in labels.columns else toxic
 
-    sample_rows: bound of the sample that is learnt from: the labelled rows whose
-    id has the least hash. Labels may be grades 0, 1, ... already; labels that
-    are only 0 and 1 are spread over ``grades`` grades: a toxic row with more
-    indicator words than the median toxic row is graded higher. share: a word
-    must occur in that part of the toxic rows.
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, vocabulary: int = 1024, share: float = 0.02, l2: float = 1e-5, steps: int = 400) -> OrdinalModel:
+    """Learn from docs (doc_id, text) and labels (doc_id, toxic, and quality if there).
+
+    sample_rows: bound of the sample that is learnt from: the labelled ids of
+    least hash. A cut is learnt for each grade that the sample has (see
+    :func:`grades`). share: a word must occur in that part of the toxic rows.
     """
-    rows = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    picked = _text.select(docs).join(F.broadcast(rows.dropDuplicates(["doc_id"])), "doc_id")
+    own = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), grades(labels).alias("y"))
+    rows = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    picked = _text.select(docs).join(F.broadcast(rows), "doc_id")
     got = picked.select("y", "text").mapInArrow(_row_words, "y int, words array<long>").toArrow()
     y = got.column("y").to_numpy().astype(int)
     lists = got.column("words").combine_chunks()
     lists = lists if not isinstance(lists, pa.ChunkedArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
     flat = lists.flatten().to_numpy().view(np.uint64) if len(lists) else np.zeros(0, np.uint64)
     of = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())) if len(lists) else np.zeros(0, int)
-    return _fit(y, flat, of, grades, vocabulary, share, l2, steps)
+    return _fit(y, flat, of, vocabulary, share, l2, steps)
 
 
-def _fit(y: np.ndarray, flat: np.ndarray, of: np.ndarray, grades: int, vocabulary: int, share: float, l2: float, steps: int) -> OrdinalModel:
+def _fit(y: np.ndarray, flat: np.ndarray, of: np.ndarray, vocabulary: int, share: float, l2: float, steps: int) -> OrdinalModel:
     bad = y > 0
     if not bad.any() or bad.all():
         prior = (bad.sum() + 0.5) / (len(y) + 2)
-        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.log((1 - prior) / prior) + np.arange(grades - 1.0))
+        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.log((1 - prior) / prior) + np.arange(max(1.0, float(y.max(initial=1)))))
     names, inverse = np.unique(flat, return_inverse=True)
     on = np.bincount(inverse, bad[of], len(names))
     off = np.bincount(inverse, ~bad[of], len(names))
@@ -105,17 +111,12 @@ def _fit(y: np.ndarray, flat: np.ndarray, of: np.ndarray, grades: int, vocabular
     able = np.flatnonzero((on >= max(3, share * bad.sum())) & (ratio > 15) & (odds > 1))
     chosen = np.sort(able[np.argsort(-ratio[able], kind="stable")][:vocabulary])
     if not len(chosen):
-        return _fit(np.zeros_like(y), flat, of, grades, vocabulary, share, l2, steps)
+        return _fit(np.zeros_like(y), flat, of, vocabulary, share, l2, steps)
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[inverse] >= 0
     rows, cols = of[keep], place[inverse[keep]]
-    if y.max() == 1 and grades > 2:
-        strong = odds[chosen] > 2
-        number = np.bincount(rows, strong[cols], len(y))
-        bounds = np.quantile(number[bad], np.arange(1, grades - 1) / (grades - 1))
-        y = np.where(bad, 1 + (number[:, None] > bounds[None, :]).sum(1), 0)
-    top = max(grades - 1, int(y.max()))
+    top = int(y.max())
     w = np.zeros(len(chosen))
     cuts = np.array([np.log(((y <= k).sum() + 0.5) / ((y > k).sum() + 0.5)) for k in range(top)])
     gaps = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 0.05))])
@@ -176,5 +177,5 @@ def reject(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5, text_co
 
 
 def held_out(id_col: Column | str = "doc_id", remainder: int = 0) -> Column:
-    """The fold that is never learnt from: crc32 of the id as text, modulo 5."""
-    return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % 5 == remainder
+    """The fold that is never learnt from: crc32 of the id as text, modulo 5; a null id is in no such fold."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % 5 == remainder, F.lit(False))

@@ -250,6 +250,22 @@ def test_decontamination(spark, docs, rows, empty):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in whole.items() if len(r["items"]) < 2}
 
 
+def test_any_number_of_blocks_gives_the_same(spark):
+    """Rows of one id with different texts, null ids, items without an id."""
+    words = [f"w{k}" for k in range(60)]
+    items = spark.createDataFrame([(k, " ".join(words[a : a + 12])) for k, a in ((1, 0), (2, 20), (None, 40), (None, 45), (2, 20))], "item_id long, text string")
+    texts = [(1, "x " + " ".join(words[:12])), (1, "y " + " ".join(words[18:34])), (None, " ".join(words[38:54])), (None, "clean"), (2, None), (3, " ".join(words))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = lambda df: sorted([tuple(map(str, r)) for r in df.collect()])
+    whole = rows(decontaminate.find(docs, items))
+    assert all(rows(decontaminate.find(docs, items, block_bytes=n)) == whole for n in (100, 700, 2000))
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in sorted(decontaminate.find(docs, items).collect(), key=lambda r: (r["n_words"], r["n_hit"]))] == [(0, 0, []), (1, 0, []), (13, 12, [1]), (16, 14, []), (17, 12, [2]), (60, 41, [1, 2])]
+    for n in (100, 48 << 20):
+        assert rows(decontaminate.drop_contaminated(docs, items, 1, block_bytes=n)) == [("2", "None"), ("None", "clean")]
+    with pytest.raises(ValueError):
+        decontaminate.drop_contaminated(docs.select("doc_id", "text", F.lit("t").alias("text")), items)
+
+
 def test_fingerprints_and_edits(docs, rows, empty):
     got = by_id(fingerprint.with_edits(docs, ranges=5))
     texts = {i: t or "" for i, t in rows}
@@ -298,6 +314,47 @@ def test_license_with_a_word_more_is_still_found(spark):
     assert r[0]["labels"] == "bsd" and r[0]["n_base"] == 0 and r[1]["n_base"] == 1
 
 
+def test_a_whole_license_and_its_opening_words(spark):
+    notice = next(t for label, t in licenses.TEMPLATES if label == "zlib")
+    words = notice.split()
+    texts = [f"before {notice} after", " ".join(words[: len(words) // 2]), " ".join(words[: len(words) * 3 // 4]), "all rights reserved"]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [(got[k]["labels"], got[k]["score"] >= licenses.COVER) for k in range(4)] == [("zlib", True), ("", False), ("zlib", True), ("", False)]
+    assert (got[0]["spans"][0]["first"], got[0]["spans"][0]["last"]) == (1, len(words))
+
+
+def plain_words(html):
+    """What a browser's user could read, by the standard library's parser: words in order, without scripts and styles."""
+    import html.parser as hp
+
+    class Reader(hp.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "title", "head", "template", "noscript")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "title", "head", "template", "noscript") and self.off > 0
+
+        def handle_data(self, data):
+            if not self.off:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    return re.findall(r"\w+", " ".join(reader.out))
+
+
+def test_html_emits_the_words_of_a_plain_reader(spark, sf_dir):
+    """Real pages with no hidden parts: the same words, none twice, none lost."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() if r["html"] and not re.search(r"hidden|display\s*:|<(details|select|textarea|svg|iframe|object|video|audio|canvas)", r["html"])]
+    assert pages
+    for page in pages:
+        assert sorted(re.findall(r"[^\W\d]{2,}", html_text.page_text(page))) == sorted(w for w in re.findall(r"[^\W\d]{2,}", " ".join(plain_words(page))))
+
+
 def test_html():
     text = html_text.page_text
     assert text(None) == "" and text("") == "" and text("a  b\n c") == "a b c"
@@ -424,6 +481,47 @@ def test_toxicity_and_quality_on_held_out_rows(spark, docs, empty):
     assert 280 <= kept.count() <= 320 and quality.keep_above(quality.score(empty, ranked), 0.5).count() == 0
 
 
+def test_scores_by_hand(spark):
+    """Both models' scores, word by word and feature by feature."""
+    texts, labels = labelled(spark)
+    ordinal = toxicity.fit(texts, labels)
+    assert len(ordinal.cuts) == 2  # not toxic, toxic, toxic in a text of low quality: the labels' own grades
+    one = lambda w: _text.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hashes()[0]
+    weights = dict(zip(ordinal.hashes.tolist(), ordinal.weights.tolist(), strict=True))
+    ranked = quality.fit(texts, labels)
+    got, rank = by_id(toxicity.score(texts, ordinal)), by_id(quality.score(texts, ranked))
+    for r in texts.collect():
+        s = sum(weights.get(int(one(w)), 0.0) for w in set(alnum(r["text"])))
+        exceed = [1 / (1 + math.exp(c - s)) for c in ordinal.cuts]
+        assert math.isclose(got[r["doc_id"]]["severity"], sum(exceed), rel_tol=1e-9) and math.isclose(got[r["doc_id"]]["p_toxic"], exceed[0], rel_tol=1e-9)
+        data = r["text"].encode()
+        x = quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+        z = sum(w * min(8, max(-8, (v - c) * k)) for v, c, k, w in zip(x, ranked.centre, ranked.scale, ranked.weights, strict=True))
+        assert math.isclose(rank[r["doc_id"]]["score"], 1 / (1 + math.exp(-(ranked.slope * z + ranked.shift))), rel_tol=1e-6)
+
+
+def test_repeated_labels_have_one_meaning(spark):
+    texts, labels = labelled(spark)
+    more = labels.unionByName(labels.where("toxic = 1").withColumn("toxic", F.lit(0))).unionByName(labels.where("quality = 0").withColumn("quality", F.lit(1)))
+    assert np.allclose(toxicity.fit(texts, labels.drop("quality")).weights, toxicity.fit(texts, more.drop("quality")).weights)
+    assert np.allclose(quality.fit(texts, labels).weights, quality.fit(texts, more).weights)
+
+
+def test_recurrent_scores_token_by_token():
+    """The batched score of packed documents against one document at a time, one token at a time."""
+    rng = np.random.default_rng(5)
+    model = gru.Model.new(rng.integers(1, 50, 64).astype(float), 20.0, 6)
+    model.p = {k: (v + rng.normal(scale=0.3, size=v.shape)).astype(v.dtype) for k, v in model.p.items()}
+    lengths = np.array([70, 1, 40, 200, 33])
+    tokens = rng.integers(0, 65, lengths.sum()).astype(np.int32)
+    packed = gru.score(model, gru.Lanes(tokens, lengths, 65, 3), len(lengths))
+    at = 0
+    for k, n in enumerate(lengths):
+        alone = gru.score(model, gru.Lanes(tokens[at : at + n], np.array([n]), 65, 1), 1)
+        assert math.isclose(packed[k], alone[0], rel_tol=1e-4)
+        at += n
+
+
 def test_models_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, none)).where("p_toxic >= 0.5").count() == 0
