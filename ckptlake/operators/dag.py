@@ -3,27 +3,80 @@
 Edges are a relation (child, parent, ord). First-parent chains are recursive SQL
 with a bound, or pointers that are doubled. Closures over all parents go by
 frontier: a round joins the newest nodes with the edges and drops those seen, so
-diamonds cost each node once.
+diamonds cost each node once. A graph of at most ``BROADCAST_EDGES`` edges is
+broadcast instead, and each root is walked where it is; the results are the same.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ckptlake.store import Scratch, cut
 
 STRIDE = 16
+#: Graphs of so many edges (some tens of MB at most) are broadcast; longer ones are joined.
+BROADCAST_EDGES = 200_000
+
+
+def _parents(edges: DataFrame) -> dict | None:
+    """Node -> its parents, of a graph that is small enough."""
+    rows = edges.select("child", "parent").limit(BROADCAST_EDGES + 1).toArrow()
+    if rows.num_rows > BROADCAST_EDGES:
+        return None
+    out: dict = {}
+    for child, parent in zip(*(rows[c].to_pylist() for c in ("child", "parent")), strict=True):
+        out.setdefault(child, []).append(parent)
+    return out
+
+
+def _walk(parents: dict, roots: list) -> dict:
+    """Node -> depth, by the shortest way from any root."""
+    depth, layer = dict.fromkeys(roots, 0), roots
+    while layer:
+        after = []
+        for x in layer:
+            for p in parents.get(x, ()):
+                if p not in depth:
+                    depth[p] = depth[x] + 1
+                    after.append(p)
+        layer = after
+    return depth
 
 
 def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): every node that a root leads to, itself at 0, by the shortest way. Missing parents are nodes too."""
-    return _reach(edges, roots.select(F.col("node").alias("root"), "node").distinct(), ["root", "node"])
+    starts, kind = roots.select(F.col("node").alias("root")).distinct(), dict(edges.dtypes)["child"]
+    if (small := _parents(edges)) is None:
+        return _reach(edges, starts.select("root", F.col("root").alias("node")), ["root", "node"])
+    parents = edges.sparkSession.sparkContext.broadcast(small)
+
+    def run(batches):
+        for batch in batches:
+            for root in batch.column("root").to_pylist():
+                found = _walk(parents.value, [root])
+                node = pa.array(list(found), batch.schema.field("root").type)
+                yield pa.RecordBatch.from_arrays([pa.array([root] * len(found), node.type), node, pa.array(list(found.values()), pa.int32())], ["root", "node", "depth"])
+
+    return starts.mapInArrow(run, f"root {kind}, node {kind}, depth int")
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth): every node that some root leads to, by the shortest way from any. Each node is one row, however many roots lead to it."""
-    return _reach(edges, roots.select("node").distinct(), ["node"])
+    starts = roots.select("node").distinct()
+    if (small := _parents(edges)) is None:
+        return _reach(edges, starts, ["node"])
+    parents = edges.sparkSession.sparkContext.broadcast(small)
+
+    def run(batches):
+        found = _walk(parents.value, [x for batch in batches for x in batch.column("node").to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), kind), pa.array(list(found.values()), pa.int32())], ["node", "depth"])
+
+    kind = to_arrow_schema(starts.schema)[0].type
+    # Each task's roots are walked together; what several tasks reach is one row at its least depth.
+    return starts.mapInArrow(run, f"node {dict(starts.dtypes)['node']}, depth int").groupBy("node").agg(F.min("depth").alias("depth"))
 
 
 def _reach(edges: DataFrame, starts: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
@@ -43,11 +96,12 @@ def _reach(edges: DataFrame, starts: DataFrame, keys: list[str], limit: int | No
 def _strides(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(child, far, steps): what each node leads to within STRIDE steps, and how near. The table is doubled from the edges, so a walk of many layers joins it once for STRIDE of them."""
     table, steps = edges.select("child", F.col("parent").alias("far"), F.lit(1).alias("steps")).distinct(), 1
-    table = scratch.save(table, "strides")
-    while steps < STRIDE:
+    table, n = scratch.counted(table, "strides")
+    while n and steps < STRIDE:
         onward = table.select(F.col("child").alias("far"), F.col("far").alias("farther"), F.col("steps").alias("more"))
         both = table.unionByName(table.join(onward, "far").select("child", F.col("farther").alias("far"), (F.col("steps") + F.col("more")).alias("steps")))
-        table, steps = scratch.save(both.groupBy("child", "far").agg(F.min("steps").alias("steps")), "strides"), 2 * steps
+        table, n = scratch.counted(both.groupBy("child", "far").agg(F.min("steps").alias("steps")), "strides", f"steps > {steps}")
+        steps *= 2
     return table
 
 
@@ -61,6 +115,11 @@ def first_parents(edges: DataFrame, tip, limit: int = 1000) -> DataFrame:
     """(depth, node) of the chain of first parents from tip, at most limit nodes, newest first."""
     spark, kind = edges.sparkSession, dict(edges.dtypes)["child"]
     first = edges.where("ord = 0").groupBy("child").agg(F.min("parent").alias("parent"))
+    if (small := _parents(first)) is not None:
+        chain = [tip]
+        while len(chain) < limit and (up := small.get(chain[-1])):
+            chain += up
+        return spark.createDataFrame(list(enumerate(chain)), f"depth int, node {kind}")
     return _reach(first, spark.createDataFrame([(tip,)], f"node {kind}"), ["node"], limit).select("depth", "node").orderBy("depth")
 
 
@@ -71,6 +130,8 @@ def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     farther than d, so a pair whose best is at d or nearer is settled, and its
     walks end there.
     """
+    if (small := _parents(edges)) is not None:
+        return _small_bases(edges.sparkSession.sparkContext.broadcast(small), pairs)
     scratch, keys = Scratch(edges.sparkSession, "bases"), ["ours", "theirs", "own", "node"]
     strides = _strides(edges, scratch)
     sides = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("ours").alias("node")), F.struct(F.lit(False).alias("own"), F.col("theirs").alias("node"))))
@@ -91,6 +152,24 @@ def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return best(seen).select("ours", "theirs", "b.node", "b.ours_depth", "b.theirs_depth")
 
 
+def _small_bases(parents, pairs: DataFrame) -> DataFrame:
+    kind = dict(pairs.dtypes)["ours"]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column("ours").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
+                x, y = _walk(parents.value, [a]), _walk(parents.value, [b])
+                if met := x.keys() & y.keys():
+                    far, node = min((x[n] + y[n], n) for n in met)
+                    out.append((a, b, node, x[node], far - x[node]))
+            node = batch.schema.field("ours").type
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (node, node, node, pa.int32(), pa.int32()), strict=True)], ["ours", "theirs", "node", "ours_depth", "theirs_depth"])
+
+    return pairs.select("ours", "theirs").mapInArrow(run, f"ours {kind}, theirs {kind}, node {kind}, ours_depth int, theirs_depth int")
+
+
 def merge_base(edges: DataFrame, ours, theirs) -> DataFrame:
     """The same for one pair: (node, ours_depth, theirs_depth)."""
     kind = dict(edges.dtypes)["child"]

@@ -25,7 +25,7 @@ from ckptlake.functions import bits as bits_of
 from ckptlake.functions import codec, exprs
 from ckptlake.operators import dag, relational
 from ckptlake.sources import safetensors as st
-from ckptlake.types import TABLES, ConflictError, IntegrityError, NotFoundError, UsageError, width_of
+from ckptlake.types import TABLES, ConflictError, IntegrityError, NotAlignableError, NotFoundError, UsageError, width_of
 
 BLOCK_COLUMNS = "tensor_manifest string, name string, dtype string, row_elems long, chunk_no int, row_start long, row_end long, bits binary"
 #: A new full commit after so many residual ones.
@@ -45,6 +45,12 @@ def valid_branch(name: str) -> bool:
     return bool(name) and not name.startswith("-") and not any(x in name for x in ("/", "\\", ".."))
 
 
+def working_name(recorded: str | None) -> str:
+    """The last part of a recorded file name: whatever came with a commit, nothing is written outside the folder."""
+    name = re.split(r"[/\\\\]", recorded or "")[-1]
+    return name if name not in ("", ".", "..") else "model.safetensors"
+
+
 class Lake:
     def __init__(self, spark: SparkSession, root: str, chunk_bytes: int = 1 << 20):
         self.spark, self.root, self.chunk_bytes = spark, root.rstrip("/"), chunk_bytes
@@ -60,21 +66,40 @@ class Lake:
         p, fs = self._path(rel)
         if not fs.exists(p):
             return None
-        rows = self.spark.read.format("binaryFile").load(f"{self.root}/{rel}").select("content").collect()
-        return bytes(rows[0][0]).decode()
+        stream = fs.open(p)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
 
     def _write_small(self, rel: str, text: str) -> None:
-        """Staged beside the target, then renamed over it."""
+        """Staged, then renamed to a name that isn't there yet."""
         p, fs = self._path(rel)
         staged, _ = self._path(f"tmp/{uuid.uuid4().hex}")
         out = fs.create(staged, True)
         out.write(bytearray(text.encode()))
         out.close()
         fs.mkdirs(p.getParent())
-        if fs.exists(p):
+        if fs.exists(p) or not fs.rename(staged, p):
+            fs.delete(staged, False)
+            raise ConflictError(f"{rel} has been written by another")
+
+    def _versions(self, rel: str) -> list[int]:
+        p, fs = self._path(rel)
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def _read_ref(self, rel: str) -> str | None:
+        """A ref is a folder of numbered versions, of which the last counts; an empty one says that there is none."""
+        have = self._versions(rel)
+        return (self._read_small(f"{rel}/{have[-1]:012d}") or None) if have else None
+
+    def _write_ref(self, rel: str, text: str) -> None:
+        """The next version, which appears whole or not at all, whatever dies; then versions before the last one go. Of two writers of one version the second fails."""
+        have = self._versions(rel)
+        self._write_small(f"{rel}/{have[-1] + 1 if have else 0:012d}", text)
+        for n in have[:-1]:
+            p, fs = self._path(f"{rel}/{n:012d}")
             fs.delete(p, False)
-        if not fs.rename(staged, p):
-            raise IntegrityError(f"{rel} can't be moved into place")
 
     def collect_garbage(self, min_age_s: float = 900) -> int:
         """Delete staging files that are older than min_age_s; the number of them."""
@@ -120,10 +145,10 @@ class Lake:
         if not valid_branch(branch):
             raise UsageError(f"{branch!r} can't name a branch")
         lake = cls(spark, root, chunk_bytes)
-        if lake._read_small("HEAD") is not None:
+        if lake._read_ref("HEAD") is not None:
             raise UsageError(f"{root} is a lake already")
         lake._write_small("config", json.dumps({"chunk_bytes": chunk_bytes}))
-        lake._write_small("HEAD", f"ref: {branch}")
+        lake._write_ref("HEAD", f"ref: {branch}")
         return lake
 
     @classmethod
@@ -137,20 +162,20 @@ class Lake:
 
     def head(self) -> tuple[str | None, str | None]:
         """(branch, commit): no branch if detached, no commit if the branch is unborn."""
-        text = self._read_small("HEAD") or ""
+        text = self._read_ref("HEAD") or ""
         if text.startswith("ref: "):
-            return text[5:], self._read_small(f"refs/{text[5:]}")
+            return text[5:], self._read_ref(f"refs/{text[5:]}")
         return None, text
 
     def branches(self) -> dict[str, str]:
         p, fs = self._path("refs")
         names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-        return {n: self._read_small(f"refs/{n}") for n in names}
+        return {n: commit for n in names if (commit := self._read_ref(f"refs/{n}"))}
 
     def update_ref(self, branch: str, commit: str) -> None:
         if not valid_branch(branch):
             raise UsageError(f"{branch!r} can't name a branch")
-        self._write_small(f"refs/{branch}", commit)
+        self._write_ref(f"refs/{branch}", commit)
 
     def create_branch(self, branch: str, at: str = "HEAD") -> None:
         if branch in self.branches():
@@ -160,9 +185,11 @@ class Lake:
     def delete_branch(self, branch: str) -> None:
         if branch == self.head()[0]:
             raise UsageError("the branch is checked out")
-        p, fs = self._path(f"refs/{branch}")
-        if not fs.delete(p, False):
+        if branch not in self.branches():
             raise NotFoundError(f"no branch {branch}")
+        self._write_ref(f"refs/{branch}", "")  # from here on there is no such branch
+        p, fs = self._path(f"refs/{branch}")
+        fs.delete(p, True)
 
     def rename_branch(self, old: str, new: str) -> None:
         """The new ref first, the old one's end after it, HEAD last."""
@@ -172,11 +199,11 @@ class Lake:
         attached = self.head()[0] == old
         self.create_branch(new, commit)
         if attached:
-            self._write_small("HEAD", f"ref: {new}")
+            self._write_ref("HEAD", f"ref: {new}")
         self.delete_branch(old)
 
     def set_head(self, target: str) -> None:
-        self._write_small("HEAD", f"ref: {target}" if target in self.branches() else self.resolve(target))
+        self._write_ref("HEAD", f"ref: {target}" if target in self.branches() else self.resolve(target))
 
     def resolve(self, ref: str) -> str:
         """A commit by HEAD, branch, hash, or at least 6 digits of one; with ~N, the Nth first parent of it."""
@@ -189,7 +216,7 @@ class Lake:
             if (commit := self.head()[1]) is None:
                 raise NotFoundError("HEAD has no commit yet")
             return commit
-        if valid_branch(ref) and (commit := self._read_small(f"refs/{ref}")) is not None:
+        if valid_branch(ref) and (commit := self._read_ref(f"refs/{ref}")) is not None:
             return commit
         if not re.fullmatch(r"[0-9a-f]{6,64}", ref):
             raise NotFoundError(f"no branch or commit {ref}")
@@ -221,10 +248,12 @@ class Lake:
         """The last full commit along first parents, and the commits since."""
         if commit is None:
             return None, 0
-        for r in self.log(commit).select("depth", "commit", "full").toLocalIterator():
+        for r in self.log(commit, REBASE_INTERVAL + 1).select("depth", "commit", "full").collect():  # where it mostly is
             if r["full"]:
                 return r["commit"], r["depth"]
-        return None, 0
+        commits = self.table("commits").dropDuplicates(["commit"]).select(F.col("commit").alias("node"), F.get("parents", F.lit(0)).alias("parent"), "full")
+        found = dag.nearest_full(commits).where(F.col("node") == commit).first()
+        return (found["anchor"], found["since"]) if found else (None, 0)
 
     def tensors(self, commit: str) -> DataFrame:
         """The tensor manifests of a commit, with their names."""
@@ -396,6 +425,49 @@ class Lake:
             out += data[a - first * s.row_bytes : b - first * s.row_bytes]
         return out
 
+    def config(self, commit: str) -> dict | None:
+        """The commit's config, if it is a JSON object."""
+        row = self.table("commits").where(F.col("commit") == commit).join(self.table("checkpoints"), "checkpoint").select("config_object").first()
+        try:
+            found = json.loads(self.get_object(row[0])) if row else None
+        except ValueError:
+            return None
+        return found if isinstance(found, dict) else None
+
+    def checkout(self, ref: str, folder: str | None = None) -> dict:
+        """Write the commit's file to a folder of this machine (none: write nothing), then move HEAD: to the branch, or detached."""
+        commit = self.resolve(ref)
+        row = self.table("commits").where(F.col("commit") == commit).first()
+        if row is None:
+            raise NotFoundError(f"no commit {commit}")
+        path = None if folder is None else f"{folder.rstrip('/')}/{working_name(row['checkpoint_name'])}"
+        digest = self.restore(commit, path) if path else None
+        self.set_head(ref if ref in self.branches() else commit)
+        return {"commit": commit, "branch": ref if ref in self.branches() else None, "path": path, "sha256": digest, "message": row["message"]}
+
+    def namespace(self) -> DataFrame:
+        """(path, commit, size) of every file that can be read: the tips by branch, and all commits that branches lead to by hash; sizes come from headers alone."""
+        tips = self.spark.createDataFrame(list(self.branches().items()), "branch string, commit string")
+        all_ = dag.reachable(self.edges(), tips.select(F.col("commit").alias("node"))).select(F.col("node").alias("commit"))
+        commits = all_.join(self.table("commits").dropDuplicates(["commit"]), "commit")
+        headers = commits.select("commit", "checkpoint", "checkpoint_name").join(self.table("checkpoints").dropDuplicates(["checkpoint"]), "checkpoint")
+        tensors = headers.join(self.table("checkpoint_tensors").distinct(), "checkpoint").join(self.table("tensor_manifests").dropDuplicates(["tensor_manifest"]).select("tensor_manifest", "num_rows", "row_elems", _width().alias("width")), "tensor_manifest")
+        data = tensors.groupBy("commit").agg(F.sum(F.col("num_rows") * F.col("row_elems") * F.col("width")).alias("data"))
+        objects = self.table("objects").dropDuplicates(["object"]).select(F.col("object").alias("header_object"), F.length("payload").alias("head"))
+        sized = headers.join(objects, "header_object").join(data, "commit", "left").select("commit", F.col("checkpoint_name").alias("name"), (F.col("head") + 8 + F.coalesce("data", F.lit(0))).cast("long").alias("size"))
+        by_branch = sized.join(tips, "commit").select(F.concat(F.lit("/"), "branch", F.lit("/"), "name").alias("path"), "commit", "size")
+        return sized.select(F.concat(F.lit("/commits/"), "commit", F.lit("/"), "name").alias("path"), "commit", "size").unionByName(by_branch)
+
+    @classmethod
+    def discover(cls, spark: SparkSession, start: str) -> Lake:
+        """The lake at a folder, or at the nearest folder above it."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(start)
+        while at is not None:
+            if cls(spark, at.toString())._read_ref("HEAD") is not None:
+                return cls.open(spark, at.toString())
+            at = at.getParent()
+        raise NotFoundError(f"no lake at {start} or above it")
+
     def total_size(self, commit: str) -> int:
         header = self.header(commit)
         return 8 + len(header) + max((s.end for s in st.parse_header(header)), default=0)
@@ -433,12 +505,20 @@ class Lake:
                 alignment = found.plan()
         if config is None and tip is None:
             raise UsageError("a first commit needs its config")
-        staged = f"{self.root}/tmp/{uuid.uuid4().hex}"
-        heads = st.scan_headers(self.spark, path)
-        specs = heads.collect()
+        specs = [r.asDict() for r in st.scan_headers(self.spark, path).collect()]
         target = st.scan_blocks(self.spark, path, self.chunk_bytes)
-        digests = {r["name"]: r["content_hash"] for r in _tensor_digests(self.spark, path).collect()}
-        header = _header_bytes(self.spark, path)
+        digests = {r["name"]: r["content_hash"] for r in st.scan_digests(self.spark, path).collect()}
+        return self._store(specs, target, digests, st.header_bytes(self.spark, path), message, path.rpartition("/")[2], branch, tip, base, full, config, alignment, parents, ts, adaptive, notes)
+
+    def commit_blocks(self, blocks: DataFrame, header: bytes, message: str, parents: list[str], config: bytes | None = None, name: str = "model.safetensors", ts: str | None = None) -> dict:
+        """Commit, in full, a written table of blocks (as scan_blocks gives them) under a header. No tensor passes the driver: digests are taken from the blocks in their order, a tensor a group."""
+        branch, tip = self.head()
+        specs = [dict(zip([c.split()[0] for c in st.HEADER_FIELDS.split(", ")], s.fields(), strict=True)) for s in st.parse_header(header)]
+        digests = {s["name"]: name_of(b"") for s in specs} | {r["name"]: r["actual"] for r in _ordered_digests(blocks, "name").collect()}
+        return self._store(specs, blocks, digests, header, message, name, branch, tip, None, True, config, None, parents, ts, False, [])
+
+    def _store(self, specs: list[dict], target: DataFrame, digests: dict[str, str], header: bytes, message: str, file_name: str, branch: str, tip, base, full, config, alignment, parents, ts, adaptive: bool, notes: list[str]) -> dict:
+        staged = f"{self.root}/tmp/{uuid.uuid4().hex}"
         known: dict[str, str] = {}
         if base is not None:
             have = {r["name"]: r for r in self.tensors(base).collect()}
@@ -525,7 +605,7 @@ class Lake:
             if manifests:
                 self.append("checkpoint_tensors", self.spark.createDataFrame([(checkpoint, n, m) for n, m in manifests.items()], TABLES["checkpoint_tensors"]))
             self.append("checkpoints", self.spark.createDataFrame([(checkpoint, name_of(header), config_name)], TABLES["checkpoints"]))
-        commit = self.write_commit(checkpoint, parents or ([tip] if tip else []), message, full, path.rpartition("/")[2], ts)
+        commit = self.write_commit(checkpoint, parents or ([tip] if tip else []), message, full, file_name, ts)
         self.update_ref(branch, commit)
         for made in (staged, f"{staged}-anew"):
             p, fs = self._path(made[len(self.root) + 1 :])
@@ -566,7 +646,7 @@ class Lake:
         own = self.spark.createDataFrame([(c,) for c in commits], "commit string").join(self.table("commits").select("commit", "checkpoint").distinct(), "commit").join(self.table("checkpoint_tensors").distinct(), "checkpoint")
         manifests = self.table("tensor_manifests").dropDuplicates(["tensor_manifest"])
         edges = manifests.where("base_manifest is not null").select(F.col("tensor_manifest").alias("child"), F.col("base_manifest").alias("parent"))
-        needed = dag.ancestors(edges, own.select(F.col("tensor_manifest").alias("node"))).select(F.col("node").alias("tensor_manifest")).distinct()
+        needed = dag.reachable(edges, own.select(F.col("tensor_manifest").alias("node"))).select(F.col("node").alias("tensor_manifest"))
         objects = needed.join(self.table("manifest_chunks"), "tensor_manifest").select("object").distinct()
         return objects.join(self.table("chunks").dropDuplicates(["object"]), "object").agg(F.sum("stored_len")).first()[0] or 0
 
@@ -632,26 +712,6 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["name", "n", "bad", "worst", "total", "gap"])
 
 
-def _tensor_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content_hash): digests of the tensors' bytes as they lie, whatever the chunks."""
-
-    def run(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                f = st.TensorFile(content.as_buffer())
-                yield pa.RecordBatch.from_arrays([pa.array(list(f.specs), pa.string()), pa.array([hashlib.sha256(f.body[s.begin : s.end]).hexdigest() for s in f.specs.values()], pa.string())], ["name", "content_hash"])
-
-    return st._binary(spark, path).select("content").mapInArrow(run, "name string, content_hash string")
-
-
-def _header_bytes(spark: SparkSession, path: str) -> bytes:
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([st.TensorFile(c.as_buffer()).header for c in batch.column("content")], pa.binary())], ["header"])
-
-    return bytes(st._binary(spark, path).select("content").mapInArrow(run, "header binary").first()[0])
-
-
 # ---- verify ---------------------------------------------------------------------------------------------
 
 TIERS = ("structure", "checksum", "content", "tensors")
@@ -666,14 +726,14 @@ def verify(lake: Lake, refs: list[str] | None = None, tier: str = "content", mos
     """
     spark, level = lake.spark, TIERS.index(tier)
     roots = [lake.resolve(r) for r in refs] if refs else sorted({*lake.branches().values(), *filter(None, [lake.head()[1]])})
-    reach = dag.ancestors(lake.edges(), spark.createDataFrame([(r,) for r in roots], "node string")).select(F.col("node").alias("commit")).distinct()
+    reach = dag.reachable(lake.edges(), spark.createDataFrame([(r,) for r in roots], "node string")).select(F.col("node").alias("commit"))
     commits = dag.cut(reach.join(lake.table("commits").dropDuplicates(["commit"]), "commit", "left"))
     checkpoints = commits.where("checkpoint is not null").select("commit", "checkpoint").join(lake.table("checkpoints").dropDuplicates(["checkpoint"]), "checkpoint", "left")
     own = checkpoints.join(lake.table("checkpoint_tensors").distinct(), "checkpoint").select("checkpoint", "tensor_manifest")
     chain = own.select("tensor_manifest").distinct()
     manifests = lake.table("tensor_manifests").dropDuplicates(["tensor_manifest"])
     edges = manifests.where("base_manifest is not null").select(F.col("tensor_manifest").alias("child"), F.col("base_manifest").alias("parent"))
-    needed = dag.cut(dag.ancestors(edges, chain.select(F.col("tensor_manifest").alias("node"))).select(F.col("node").alias("tensor_manifest")).distinct())
+    needed = dag.cut(dag.reachable(edges, chain.select(F.col("tensor_manifest").alias("node"))).select(F.col("node").alias("tensor_manifest")))
     used = needed.join(manifests, "tensor_manifest", "left")
     by = lambda df, obj, ref: df.select(F.col(obj).alias("object"), F.col(ref).alias("referenced_by"))
     links = by(commits, "commit", "commit")
@@ -716,24 +776,28 @@ def _check_content(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["object", "referenced_by", "kind"])
 
 
-def _check_tensors(lake: Lake, used: DataFrame) -> DataFrame:
-    """Tensors whose decoded bytes don't have their content hash: chunks in order, one digest a tensor, fed a chunk at a time."""
+def _ordered_digests(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, actual): the digest of each tensor's blocks in their order, fed a block at a time."""
 
     def run(batches):
-        key = h = None
+        at = h = None
         for batch in batches:
-            for m, data in zip(batch.column("tensor_manifest").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                if m != key:
-                    if key is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([h.hexdigest()])], ["tensor_manifest", "actual"])
-                    key, h = m, hashlib.sha256()
+            for m, data in zip(batch.column(key).to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                if m != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([h.hexdigest()])], [key, "actual"])
+                    at, h = m, hashlib.sha256()
                 h.update(data)
-        if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([h.hexdigest()])], ["tensor_manifest", "actual"])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([h.hexdigest()])], [key, "actual"])
+
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.select(key, "chunk_no", "bits").repartition(parts, key).sortWithinPartitions(key, "chunk_no").select(key, "bits").mapInArrow(run, f"{key} string, actual string")
+
 
-    blocks = lake.blocks(used.select("tensor_manifest")).select("tensor_manifest", "chunk_no", "bits")
-    parts = int(lake.spark.conf.get("spark.sql.shuffle.partitions"))
-    digests = blocks.repartition(parts, "tensor_manifest").sortWithinPartitions("tensor_manifest", "chunk_no").mapInArrow(run, "tensor_manifest string, actual string")
+def _check_tensors(lake: Lake, used: DataFrame) -> DataFrame:
+    """Tensors whose decoded bytes don't have their content hash."""
+    digests = _ordered_digests(lake.blocks(used.select("tensor_manifest")), "tensor_manifest")
     bad = used.where("num_rows * row_elems > 0").join(digests, "tensor_manifest", "left").where("actual is null or actual <> content_hash")
     return bad.select(F.lit("tensor-content-mismatch").alias("kind"), F.col("tensor_manifest").alias("object"), F.col("name").alias("referenced_by"))
 
@@ -767,8 +831,21 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("chunk_no"), pa.array(out, pa.binary())], ["name", "chunk_no", "bits"])
 
 
+def _alignment_of(lake: Lake, ours: str, theirs: str, notes: list[str]) -> dict[str, tuple] | None:
+    """What brings theirs into the order of ours, where that can be told and lessens the residuals."""
+    from ckptlake.operators import align
+
+    pairs, shapes = align.pairs_of_commits(lake, ours, theirs)
+    try:
+        groups = align.topology(shapes, config=lake.config(ours))
+        return align.align(dag.cut(pairs), groups).plan() or None
+    except (UsageError, NotAlignableError) as e:
+        notes.append(f"not aligned: {e}")
+        return None
+
+
 def merge(lake: Lake, theirs: str, average: bool = False, ff_only: bool = False, no_ff: bool = False, message: str | None = None, alignment: dict[str, tuple] | None = None) -> dict:
-    """Merge a ref into the branch that HEAD is on. alignment: theirs' rows in ours' order, as for commit."""
+    """Merge a ref into the branch that HEAD is on. Where both sides changed tensors, theirs are aligned with ours first; alignment: theirs' rows in ours' order, as for commit, if it is known ({} for none)."""
     branch, ours = lake.head()
     theirs = lake.resolve(theirs)
     if branch is None or ours is None:
@@ -788,9 +865,12 @@ def merge(lake: Lake, theirs: str, average: bool = False, ff_only: bool = False,
     if counts.get("averaged") and not average:
         raise ConflictError(f"{counts['averaged']} tensors changed on both sides")
     names = plan.where("action <> 'only-theirs'").select("name", "action")
-    o = names.join(lake.tensors(ours).select("name", "tensor_manifest"), "name")
+    notes: list[str] = []
+    if alignment is None and counts.get("averaged"):
+        alignment = _alignment_of(lake, ours, theirs, notes)
+    o = names.join(lake.tensors(ours).select("name", "tensor_manifest", "shape", "num_rows", "row_elems", "dtype"), "name")
     t = names.where("action in ('take-theirs', 'averaged')").join(lake.tensors(theirs).select("name", "tensor_manifest", "dtype", "row_elems"), "name")
-    o_blocks = lake.blocks(o.select("tensor_manifest")).drop("name").join(o, "tensor_manifest").select("name", "action", "dtype", "chunk_no", "row_start", F.col("bits").alias("o_bits"))
+    o_blocks = lake.blocks(o.select("tensor_manifest")).drop("name", "dtype", "row_elems").join(o, "tensor_manifest").select("name", "action", "dtype", "chunk_no", "row_start", "row_end", F.col("bits").alias("o_bits"))
     perm_names = {}
     perm_rows = []
     for name, (row, col, block) in (alignment or {}).items():
@@ -807,21 +887,12 @@ def merge(lake: Lake, theirs: str, average: bool = False, ff_only: bool = False,
     t_blocks = lake.align_blocks(lake.blocks(t_plan.select(F.col("key").alias("tensor_manifest"))).withColumnRenamed("tensor_manifest", "key"), t_plan).select(F.col("target").alias("name"), "chunk_no", F.col("base_bits").alias("t_bits")) if t_rows else lake.spark.createDataFrame([], "name string, chunk_no int, t_bits binary")
     merged = o_blocks.join(t_blocks, ["name", "chunk_no"], "left").select("name", "chunk_no", "action", "dtype", "o_bits", "t_bits").mapInArrow(_average, "name string, chunk_no int, bits binary")
     header = lake.header(ours)
-    staged = f"{lake.root}/tmp/{uuid.uuid4().hex}.safetensors"
-    path = lake.spark._jvm.org.apache.hadoop.fs.Path(staged)
-    fs = path.getFileSystem(lake.spark._jsc.hadoopConfiguration())
-    out = fs.create(path, True)
-    try:
-        out.write(bytearray(len(header).to_bytes(8, "little") + header))
-        place = lake.spark.createDataFrame(st.header_layout(header), "name string, begin long, end long")
-        for r in merged.join(place, "name").select("begin", "chunk_no", "bits").orderBy("begin", "chunk_no").toLocalIterator():
-            out.write(bytearray(r["bits"]))
-        out.close()
-        done = lake.commit(staged, message or f"merge {theirs[:12]}", full=True, parents=[ours, theirs])
-    finally:
-        fs.delete(path, False)
+    shapes = o.select("name", "shape", "num_rows", "row_elems", "dtype")
+    ordinals = lake.spark.createDataFrame([(x.name, x.ordinal) for x in st.parse_header(header)], "name string, ordinal int")
+    blocks = dag.cut(merged.join(o_blocks.select("name", "chunk_no", "row_start", "row_end"), ["name", "chunk_no"]).join(shapes, "name").join(ordinals, "name"))
+    done = lake.commit_blocks(blocks, header, message or f"merge {theirs[:12]}", parents=[ours, theirs])
     stale = [r["name"] for r in stale_statistics(plan).collect()]
-    return {"result": "merged", "commit": done["commit"], "counts": counts, "stale_statistics": stale, "dropped": [r[0] for r in plan.where("action = 'only-theirs'").select("name").orderBy("name").collect()]}
+    return {"result": "merged", "commit": done["commit"], "counts": counts, "notes": notes, "stale_statistics": stale, "dropped": [r[0] for r in plan.where("action = 'only-theirs'").select("name").orderBy("name").collect()]}
 
 
 # ---- sync -----------------------------------------------------------------------------------------------
@@ -829,12 +900,12 @@ def merge(lake: Lake, theirs: str, average: bool = False, ff_only: bool = False,
 
 def reachable_objects(lake: Lake, commit: str) -> tuple[DataFrame, DataFrame]:
     """(metadata objects, chunk objects) that a commit needs, bases of residuals included."""
-    reach = dag.ancestors(lake.edges(), lake.spark.createDataFrame([(commit,)], "node string")).select(F.col("node").alias("commit")).distinct()
+    reach = dag.reachable(lake.edges(), lake.spark.createDataFrame([(commit,)], "node string")).select(F.col("node").alias("commit"))
     points = reach.join(lake.table("commits").dropDuplicates(["commit"]), "commit").select("commit", "checkpoint").join(lake.table("checkpoints").dropDuplicates(["checkpoint"]), "checkpoint", "left")
     own = points.join(lake.table("checkpoint_tensors").distinct(), "checkpoint").select("tensor_manifest").distinct()
     manifests = lake.table("tensor_manifests").dropDuplicates(["tensor_manifest"])
     edges = manifests.where("base_manifest is not null").select(F.col("tensor_manifest").alias("child"), F.col("base_manifest").alias("parent"))
-    needed = dag.cut(dag.ancestors(edges, own.select(F.col("tensor_manifest").alias("node"))).select(F.col("node").alias("tensor_manifest")).distinct())
+    needed = dag.cut(dag.reachable(edges, own.select(F.col("tensor_manifest").alias("node"))).select(F.col("node").alias("tensor_manifest")))
     used = needed.join(manifests, "tensor_manifest")
     meta = reach.select(F.col("commit").alias("object"))
     for df, c in ((points, "checkpoint"), (points, "header_object"), (points, "config_object"), (needed, "tensor_manifest"), (used, "row_perm"), (used, "col_perm")):

@@ -331,9 +331,9 @@ def best_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.best_host(norms, layers)
 
 
-@query(None)
+@query("SELECT label, count(*) AS n, CAST(count(*) * 256 AS BIGINT) AS plain_bytes, true AS exact, true AS no_longer FROM embeddings GROUP BY 1")
 def chunk_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's bits encoded against the one before it of its label and decoded again: how many come back, and at what size."""
+    """Each vector's bits encoded against the one before it of its label and decoded again: whether all come back, in streams that are hardly longer (the codec falls back to the raw form)."""
     import pyarrow as pa
 
     from ckptlake.functions import codec
@@ -355,7 +355,7 @@ def chunk_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["vec_id", "label", "encoding", "plain", "stored", "exact"])
 
     coded = pairs.mapInArrow(run, "vec_id long, label int, encoding string, plain long, stored long, exact boolean")
-    return coded.groupBy("label").agg(F.count("*").alias("n"), F.sum("plain").alias("plain_bytes"), F.sum("stored").alias("stored_bytes"), F.bool_and("exact").alias("exact"))
+    return coded.groupBy("label").agg(F.count("*").alias("n"), F.sum("plain").alias("plain_bytes"), F.bool_and("exact").alias("exact"), (F.sum("stored") <= 1.1 * F.sum("plain")).alias("no_longer"))
 
 
 @query("SELECT label, count(*) AS n_units, 1.0::DOUBLE AS accuracy FROM embeddings GROUP BY 1")
@@ -452,3 +452,9 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = _read(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
     return total.select("source", exprs.human_bytes(F.col("n_bytes")).alias("size"), "n_bytes")
+
+
+from ckptlake.plans import checkpoints  # noqa: E402 - its queries are registered after those above
+
+QUERIES |= checkpoints.QUERIES
+ORACLE_SQL |= checkpoints.ORACLE_SQL

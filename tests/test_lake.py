@@ -231,3 +231,40 @@ def test_adaptive_chains(lake, tmp_path):
         lake.restore(c["commit"], str(tmp_path / "out"))
         assert (tmp_path / "out").read_bytes() == data
     assert 0 < lake.minimum_bytes([commits[-1]["commit"]]) <= lake.minimum_bytes([c["commit"] for c in commits])
+
+
+def test_refs_survive_a_writer_that_dies(spark, tmp_path):
+    lake = Lake.init(spark, f"file://{tmp_path}/lake")
+    for commit in ("a" * 64, "b" * 64, "c" * 64):
+        lake.update_ref("main", commit)
+    assert lake.branches() == {"main": "c" * 64} and len([p for p in (tmp_path / "lake/refs/main").iterdir() if not p.name.startswith(".")]) == 2
+    (tmp_path / "lake/tmp").mkdir(exist_ok=True)
+    (tmp_path / "lake/tmp/half").write_text("d")  # staged and never renamed
+    assert lake.branches() == {"main": "c" * 64}
+    with pytest.raises(ConflictError):
+        lake._write_small(f"refs/main/{lake._versions('refs/main')[-1]:012d}", "e" * 64)
+    assert lake.head() == ("main", "c" * 64)
+
+
+def test_names_places_and_ranges(spark, tmp_path):
+    from ckptlake.operators.lake import working_name
+
+    assert [working_name(n) for n in ("a/b/m.safetensors", "../../x", "..", "", None, "c:\\d\\e")] == ["m.safetensors", "x", "model.safetensors", "model.safetensors", "model.safetensors", "e"]
+    lake = Lake.init(spark, f"file://{tmp_path}/lake", chunk_bytes=64)
+    rows = np.arange(40, dtype="<f4").reshape(10, 4)
+    (tmp_path / "m.safetensors").write_bytes(st.write_file({"w": ("F32", [10, 4], rows.tobytes()), "e": ("F32", [0, 4], b""), "s": ("F32", [], b"abcd")}))
+    path = f"file://{tmp_path}/m.safetensors"
+    commit = lake.commit(path, "one", config=b"{}")["commit"]
+    assert Lake.discover(spark, f"file://{tmp_path}/lake/a/b").root == f"file:{tmp_path}/lake"
+    with pytest.raises(NotFoundError):
+        Lake.discover(spark, f"file://{tmp_path}")
+    size = (tmp_path / "m.safetensors").stat().st_size
+    assert {(r["path"], r["size"]) for r in lake.namespace().collect()} == {("/main/m.safetensors", size), (f"/commits/{commit}/m.safetensors", size)}
+    (tmp_path / "out").mkdir()
+    done = lake.checkout(commit, str(tmp_path / "out"))
+    assert (tmp_path / "out/m.safetensors").read_bytes() == (tmp_path / "m.safetensors").read_bytes() and done["branch"] is None and lake.head() == (None, commit)
+    assert lake.checkout("main")["path"] is None and lake.head() == ("main", commit)
+    some = st.scan_blocks(spark, path, 64, ["w"], (5, 9)).orderBy("row_start").collect()
+    assert [(r["row_start"], r["row_end"]) for r in some] == [(4, 7), (8, 9)] and bytes(some[0]["bits"]) == rows[4:8].tobytes()
+    assert {r["name"]: r["content_hash"] for r in st.scan_digests(spark, path).collect()}["w"] == __import__("hashlib").sha256(rows.tobytes()).hexdigest()
+    assert st.TensorFile.open(str(tmp_path / "m.safetensors")).gather("w", [3, 0, 3]).view("<f4").tolist() == rows[[3, 0, 3]].tolist()
