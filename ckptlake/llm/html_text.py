@@ -9,8 +9,9 @@ document's head, scripts, styles, templates and unrendered elements hold, elemen
 with ``hidden``, with ``display:none`` or ``visibility:hidden`` in their style,
 closed dialogs, and what a closed ``details`` holds besides its summary.
 
-One pass over the pages, a page at a time, without recursion but for tables in
-table cells (beyond ``DEEP`` of them a table is rendered as blocks).
+One pass over the pages, a page at a time, without recursion: tables in table
+cells wait on a stack, so any depth of them is laid out alike (a line in a cell
+is handled once for each table around it).
 
 Defined cases: null or empty pages give empty text; text without any tag is one
 block; a page cut anywhere renders what it has; repeated rows render alike;
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from ckptlake.llm import _text
 
-DEEP = 20
 #: Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -194,6 +194,15 @@ class _Page:
         self.fresh = [False] * len(self.fresh)
         self.lines.append((head + text).rstrip(" "))
 
+    def put_all(self, lines: list[str]) -> None:
+        """Lines without blanks at their ends."""
+        if self.prefixes:
+            for line in lines:
+                self.put(line)
+        elif lines:
+            self.put(lines[0])
+            self.lines.extend(lines[1:])
+
     def text(self, words: str) -> None:
         words = _SPACE.sub(" ", words)
         if self.blank and words[:1] == " ":
@@ -203,8 +212,20 @@ class _Page:
             self.blank = words[-1] == " "
 
 
-def render(root: Node, deep: int = 0) -> list[str]:
-    """The lines of a tree's visible text."""
+def render(root: Node) -> list[str]:
+    """The lines of a tree's visible text. A step that needs the lines of a part yields the step that makes them."""
+    steps, lines = [_lines(root)], None
+    while steps:
+        try:
+            steps.append(steps[-1].send(lines))
+            lines = None
+        except StopIteration as done:
+            steps.pop()
+            lines = done.value
+    return lines
+
+
+def _lines(root: Node):
     page = _Page()
     todo: list[tuple] = [("open", root, False)]
     lists: list[list] = []
@@ -254,10 +275,9 @@ def render(root: Node, deep: int = 0) -> list[str]:
             if node.attributes.get("type", "text").lower() not in ("hidden", "checkbox", "radio", "file", "password", "image"):
                 page.text(node.attributes.get("value", ""))
             continue
-        if tag == "table" and deep < DEEP:
+        if tag == "table":
             page.break_line(1)
-            for line in _table(node, deep):
-                page.put(line)
+            page.put_all((yield _table(node)))
             page.gap = max(page.gap, 1)
             continue
         block = tag in BLOCKS
@@ -293,7 +313,7 @@ def _number(value: str | None, most: int) -> int:
     return min(most, max(1, int(value))) if value and re.fullmatch(r"\d{1,6}", value) else 1
 
 
-def _table(table: Node, deep: int) -> list[str]:
+def _table(table: Node):
     """Caption, then rows of aligned cells. A column's cells are padded to its widest, up to 60 characters."""
     lines, rows, loose = [], [], []
     todo = table.children[::-1]
@@ -312,7 +332,7 @@ def _table(table: Node, deep: int) -> list[str]:
     if loose:
         outside = Node("div", {})
         outside.children = loose
-        lines += render(outside, deep + 1)
+        lines += yield _lines(outside)
     grid: list[list[list[str] | None]] = []
     held: dict[int, int] = {}  # column -> rows that a cell above still takes
     for row in rows:
@@ -340,7 +360,7 @@ def _table(table: Node, deep: int) -> list[str]:
             for k in range(wide):
                 if tall > 1:
                     held[len(out)] = tall - 1
-                out.append(render(inner, deep + 1) if not k else None)
+                out.append((yield _lines(inner)) if not k else None)
         skip()
         grid.append(out)
     widths: dict[int, int] = {}
@@ -348,6 +368,9 @@ def _table(table: Node, deep: int) -> list[str]:
         for k, cell in enumerate(row):
             widths[k] = max(widths.get(k, 0), *(min(60, len(x)) for x in cell or [""]), 0)
     for row in grid:
+        if len(widths) == 1:
+            lines += [line for x in row[0] or [] if (line := x.rstrip(" "))] if row else []
+            continue
         for k in range(max((len(c) for c in row if c), default=0)):
             cells = [(c[k] if c and k < len(c) else "").ljust(widths[i]) for i, c in enumerate(row)]
             if line := "  ".join(cells).rstrip(" "):

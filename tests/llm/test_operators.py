@@ -368,6 +368,14 @@ def test_html():
     assert text("<p>cut <a href='x") == "cut"
     assert text("<div>" * 5000 + "deep") == "deep"
     assert text("<table><tr><td>" * 60 + "deep") == "deep"
+    assert text("<table><tr><td>" * 3000 + "deep") == "deep"
+
+
+def test_html_tables_are_laid_out_alike_at_any_depth():
+    inner = "<table><tr><td>a<td>b<tr><td>long<td>c</table>"
+    for depth in (0, 1, 19, 20, 21, 60):
+        assert html_text.page_text("<table><tr><td>" * depth + inner + "</table>" * depth + "z") == "a     b\nlong  c\n\nz"
+        assert html_text.page_text("<table>x<tr><td>" * depth + inner) == "x\n" * depth + "a     b\nlong  c"
 
 
 def test_html_colgroup_ends_without_its_tag():
