@@ -21,17 +21,31 @@ STRIDE = 16
 BROADCAST_EDGES = 200_000
 
 
+def _ends(edges: DataFrame, *columns: str) -> list[tuple] | None:
+    """The rows of a graph that is small enough to pass the driver; None of a larger one."""
+    rows = edges.select(*columns).limit(BROADCAST_EDGES + 1).toArrow()
+    if rows.num_rows > BROADCAST_EDGES:
+        return None
+    return list(zip(*(rows[c].to_pylist() for c in columns), strict=True))
+
+
 def _parents(edges: DataFrame) -> dict | None:
     """Node -> its parents, of a graph that is small enough."""
-    rows = edges.select("child", "parent").limit(BROADCAST_EDGES + 1).toArrow()
-    if rows.num_rows > BROADCAST_EDGES:
+    if (rows := _ends(edges, "child", "parent")) is None:
         return None
     out: dict = {}
-    for child, parent in zip(*(rows[c].to_pylist() for c in ("child", "parent")), strict=True):
+    for child, parent in rows:
         out.setdefault(child, []).append(parent)
     return out
 
 
+def _looked_up(nodes: DataFrame, found: dict, value: str, kind: pa.DataType) -> DataFrame:
+    """(node, value) of a small graph's nodes, null for the others: found has two entries an edge at most, so it is broadcast."""
+    node = to_arrow_schema(nodes.schema).field("node").type
+    table = pa.table({"node": pa.array(list(found), node), value: pa.array(list(found.values()), kind)})
+    return nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(table)), "node", "left")
+
+
 def _walk(parents: dict, roots: list) -> dict:
     """Node -> depth, by the shortest way from any root."""
     depth, layer = dict.fromkeys(roots, 0), roots
@@ -211,7 +225,11 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ways that leave the first parents once more, so rounds grow with how often the
     longest way does that and not with its length.
     """
-    scratch, own = Scratch(edges.sparkSession, "levels"), nodes.select("node").distinct()
+    own = nodes.select("node").distinct()
+    among = edges.join(own.withColumnRenamed("node", "child"), "child", "left_semi").join(own.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    if (small := _parents(among)) is not None:
+        return _looked_up(own, _small_levels(small), "level", pa.int32()).select("node", F.coalesce("level", F.lit(0)).alias("level"))
+    scratch = Scratch(edges.sparkSession, "levels")
     up = edges.where("ord = 0").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("up"))
     there = own.select(F.col("node").alias("up"), F.lit(True).alias("there"))
     first = own.join(up, "node", "left").join(there, "up", "left").select(F.col("node").alias("manifest"), F.when(F.col("there"), F.col("up")).otherwise(F.col("node")).alias("root"), F.coalesce("there", F.lit(False)).cast("int").alias("hops"))
@@ -230,9 +248,47 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             level = scratch.save(level.unionByName(above).groupBy("node").agg(F.max("level").alias("level")), "level")
 
 
+def _small_levels(parents: dict) -> dict:
+    """Node -> the longest way to one without parents, for the nodes that have any."""
+    waiting = {child: len(of) for child, of in parents.items()}
+    children: dict = {}
+    for child, of in parents.items():
+        for p in of:
+            children.setdefault(p, []).append(child)
+    level, ready = {}, [p for p in children if p not in parents]
+    while ready:
+        at = ready.pop()
+        for child in children.get(at, ()):
+            level[child] = max(level.get(child, 0), level.get(at, 0) + 1)
+            waiting[child] -= 1
+            if not waiting[child]:
+                ready.append(child)
+    if any(waiting.values()):
+        raise ValueError("the graph has a cycle")
+    return level
+
+
+def _small_components(edges: list[tuple]) -> dict:
+    """Node -> the least node of its component, for the ends of edges."""
+    up: dict = {}
+
+    def root(x):
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = x = up[above]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        up[high] = low
+    return {x: root(x) for x in list(up)}
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component of edges (a, b), isolated nodes included."""
-    every = nodes.select("node").unionByName(edges.select(F.col("a").alias("node"))).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    """(node, label): the least node of each component of edges (a, b), isolated nodes included; null is no node."""
+    every = nodes.select("node").unionByName(edges.select(F.col("a").alias("node"))).unionByName(edges.select(F.col("b").alias("node"))).where("node is not null").distinct()
+    if (small := _ends(edges.where("a <> b"), "a", "b")) is not None:
+        label = to_arrow_schema(every.schema).field("node").type
+        return _looked_up(every, _small_components(small), "label", label).select("node", F.coalesce("label", "node").alias("label"))
     return hooked(edges, every, Scratch(edges.sparkSession, "components"))
 
 

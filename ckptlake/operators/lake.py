@@ -25,6 +25,7 @@ from ckptlake.functions import bits as bits_of
 from ckptlake.functions import codec, exprs
 from ckptlake.operators import dag, relational
 from ckptlake.sources import safetensors as st
+from ckptlake.store import Scratch
 from ckptlake.types import TABLES, ConflictError, IntegrityError, NotAlignableError, NotFoundError, UsageError, width_of
 
 BLOCK_COLUMNS = "tensor_manifest string, name string, dtype string, row_elems long, chunk_no int, row_start long, row_end long, bits binary"
@@ -122,14 +123,14 @@ class Lake:
     def append(self, name: str, df: DataFrame) -> None:
         writer = df.select(*[c.split()[0] for c in TABLES[name].split(", ")])
         if name in ("chunks", "objects"):
-            writer.withColumn("shard", F.substring("object", 1, 2)).write.partitionBy("shard").mode("append").parquet(f"{self.root}/tables/{name}")
+            writer.withColumn("shard", F.substring("object", 1, 1)).write.partitionBy("shard").mode("append").parquet(f"{self.root}/tables/{name}")
         else:
             writer.write.mode("append").parquet(f"{self.root}/tables/{name}")
 
     def put_objects(self, rows: list[tuple[str, str, bytes]]) -> None:
         """Metadata objects (name, kind, bytes) that aren't there yet."""
         if rows:
-            new = self.spark.createDataFrame([(o, k, bytearray(p)) for o, k, p in dict.fromkeys(rows)], TABLES["objects"])
+            new = self.spark.createDataFrame([(o, k, bytearray(p)) for o, k, p in dict.fromkeys(rows)], TABLES["objects"]).coalesce(1)  # one file a shard
             self.append("objects", relational.absent(new, self.table("objects")))
 
     def get_object(self, name: str) -> bytes:
@@ -327,10 +328,12 @@ class Lake:
         manifests = self.table("tensor_manifests").dropDuplicates(["tensor_manifest"])
         refs = self.table("manifest_chunks").dropDuplicates(["tensor_manifest", "chunk_no"])
         chunks = self.table("chunks").dropDuplicates(["object"]).select("object", "payload")
-        levels = [dag.cut(wanted.select("tensor_manifest").distinct())]
+        scratch = Scratch(self.spark, "blocks")
+        levels = [scratch.save(wanted.select("tensor_manifest").distinct(), "level")]
         while True:
-            below = dag.cut(manifests.join(levels[-1], "tensor_manifest").where("base_manifest is not null").select(F.col("base_manifest").alias("tensor_manifest")).distinct())
-            if not below.limit(1).count():
+            below = manifests.join(levels[-1], "tensor_manifest").where("base_manifest is not null").select(F.col("base_manifest").alias("tensor_manifest")).distinct()
+            below, n = scratch.counted(below, "level")
+            if not n:
                 break
             levels.append(below)
         decoded = None
@@ -598,13 +601,13 @@ class Lake:
         self.put_objects([(name_of(header), "header", header), *([(config_name, "config", config)] if config is not None else []), *((m, "tensor-manifest", d) for m, d, _ in entries), (checkpoint, "checkpoint", checkpoint_body)])
         have_manifests = {r[0] for r in self.table("tensor_manifests").where(F.col("tensor_manifest").isin(list(kept) or [""])).select("tensor_manifest").distinct().collect()}
         if fresh := [e for _, _, e in entries if e[0] not in have_manifests]:
-            self.append("tensor_manifests", self.spark.createDataFrame(list(dict((e[0], e) for e in fresh).values()), TABLES["tensor_manifests"]))
+            self.append("tensor_manifests", self.spark.createDataFrame(list(dict((e[0], e) for e in fresh).values()), TABLES["tensor_manifests"]).coalesce(1))
             if own_chunks := [c for c in manifest_chunks if c[0] not in have_manifests]:
-                self.append("manifest_chunks", self.spark.createDataFrame(list(dict.fromkeys(own_chunks)), TABLES["manifest_chunks"]))
+                self.append("manifest_chunks", self.spark.createDataFrame(list(dict.fromkeys(own_chunks)), TABLES["manifest_chunks"]).coalesce(1))
         if not self.table("checkpoints").where(F.col("checkpoint") == checkpoint).limit(1).count():
             if manifests:
-                self.append("checkpoint_tensors", self.spark.createDataFrame([(checkpoint, n, m) for n, m in manifests.items()], TABLES["checkpoint_tensors"]))
-            self.append("checkpoints", self.spark.createDataFrame([(checkpoint, name_of(header), config_name)], TABLES["checkpoints"]))
+                self.append("checkpoint_tensors", self.spark.createDataFrame([(checkpoint, n, m) for n, m in manifests.items()], TABLES["checkpoint_tensors"]).coalesce(1))
+            self.append("checkpoints", self.spark.createDataFrame([(checkpoint, name_of(header), config_name)], TABLES["checkpoints"]).coalesce(1))
         commit = self.write_commit(checkpoint, parents or ([tip] if tip else []), message, full, file_name, ts)
         self.update_ref(branch, commit)
         for made in (staged, f"{staged}-anew"):
@@ -630,7 +633,7 @@ class Lake:
         commit = name_of(body)
         self.put_objects([(commit, "commit", body)])
         if not self.table("commits").where(F.col("commit") == commit).limit(1).count():
-            self.append("commits", self.spark.createDataFrame([(commit, checkpoint, parents, ts, message, full, checkpoint_name)], TABLES["commits"]))
+            self.append("commits", self.spark.createDataFrame([(commit, checkpoint, parents, ts, message, full, checkpoint_name)], TABLES["commits"]).coalesce(1))
         return commit
 
     def sizes(self, commit: str) -> dict:

@@ -27,12 +27,33 @@ def test_joined_walks_equal_broadcast_ones(spark, monkeypatch):
     assert walks() == small and all(small)
 
 
-def test_levels_put_parents_first_by_the_longest_way(spark):
+def test_levels_put_parents_first_by_the_longest_way(spark, monkeypatch):
     edges, rows = history(spark)
     longest = {}
     for k in range(300):
         longest[k] = max((longest[p] + 1 for c, p, _ in rows if c == k), default=0)
-    assert dict(rows_of(dag.levels(edges, spark.range(300).select(F.col("id").alias("node"))))) == longest
+    nodes = spark.range(300).select(F.col("id").alias("node"))
+    assert dict(rows_of(dag.levels(edges, nodes))) == longest
+    monkeypatch.setattr(dag, "BROADCAST_EDGES", 3)
+    assert dict(rows_of(dag.levels(edges, nodes))) == longest
+
+
+@pytest.mark.parametrize("most", [3, 200_000])
+def test_levels_of_some_nodes_only(spark, monkeypatch, most):
+    monkeypatch.setattr(dag, "BROADCAST_EDGES", most)
+    edges = spark.createDataFrame([(2, 1, 0), (3, 2, 0), (3, 9, 1), (4, 3, 0), (4, 1, 1), (8, 4, 0)], "child long, parent long, ord int")
+    nodes = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 5)], "node long")  # 9 and 8 are not of the graph
+    assert rows_of(dag.levels(edges, nodes)) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 0)]
+
+
+@pytest.mark.parametrize("most", [1, 200_000])
+def test_components_of_texts_and_nulls(spark, monkeypatch, most):
+    monkeypatch.setattr(dag, "BROADCAST_EDGES", most)
+    edges = spark.createDataFrame([("b", "a"), ("b", "a"), ("c", "b"), ("d", "d"), (None, "e"), ("g", "f")], "a string, b string")
+    nodes = spark.createDataFrame([("z",), ("a",), (None,)], "node string")
+    want = [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e"), ("f", "f"), ("g", "f"), ("z", "z")]
+    assert rows_of(dag.components(edges, nodes)) == want
+    assert rows_of(dag.components(edges.limit(0), nodes)) == [("a", "a"), ("z", "z")]
 
 
 @pytest.mark.parametrize("order", ["worst", "shuffled"])
@@ -45,8 +66,10 @@ def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch, order):
     monkeypatch.setattr(dag.Scratch, "counted", lambda *a, **k: rounds.append(1) or counted(*a, **k))
     edges = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")
     nodes = spark.createDataFrame([(9999,)], "node long")
-    found = dict(rows_of(dag.components(edges, nodes)))
-    assert found == dict.fromkeys(range(n), 0) | {9999: 9999} and len(rounds) < 30
+    want = dict.fromkeys(range(n), 0) | {9999: 9999}
+    assert dict(rows_of(dag.components(edges, nodes))) == want and not rounds  # broadcast
+    monkeypatch.setattr(dag, "BROADCAST_EDGES", 3)
+    assert dict(rows_of(dag.components(edges, nodes))) == want and 1 < len(rounds) < 30
 
 
 def test_nearest_full_over_a_long_history(spark):
