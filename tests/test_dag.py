@@ -76,3 +76,29 @@ def test_nearest_full_over_a_long_history(spark):
     rows = [(f"c{k}", f"c{k - 1}" if k else None, k == 3) for k in range(1500)]
     got = {r["node"]: (r["anchor"], r["since"]) for r in dag.nearest_full(spark.createDataFrame(rows, "node string, parent string, full boolean")).collect()}
     assert got["c1499"] == ("c3", 1496) and got["c3"] == ("c3", 0) and got["c2"] == (None, 0)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_deep_walks_of_large_graphs_take_few_tables(spark, monkeypatch, kind):
+    """Two branches of 1,500 commits from a trunk of 1,500; tables were written for every 16 layers of them."""
+    n, tables = 1500, []
+    rows = [(k, k - 1 if k != 2 * n else n - 1) for k in range(1, 3 * n)]
+    edges = spark.createDataFrame(rows, "child long, parent long").selectExpr(f"cast(child as {kind}) child", f"cast(parent as {kind}) parent", "0 ord")
+    roots = spark.createDataFrame([(3 * n - 1,), (2 * n - 1,)], "node long").selectExpr(f"cast(node as {kind}) node")
+    walk = lambda: rows_of(dag.ancestors(edges, roots))
+    small = walk()
+    saved = dag.Scratch.save
+    monkeypatch.setattr(dag.Scratch, "save", lambda *a, **k: tables.append(1) or saved(*a, **k))
+    monkeypatch.setattr(dag, "BROADCAST_EDGES", 3)
+    monkeypatch.setattr("ckptlake.operators.packed.BLOCK", 1000)
+    assert walk() == small and len(small) == 4 * n
+    assert len(tables) < 20
+
+
+@pytest.mark.parametrize("most", [2, 200_000])
+def test_walks_meet_nulls_ties_and_strangers(spark, monkeypatch, most):
+    monkeypatch.setattr(dag, "BROADCAST_EDGES", most)
+    edges = spark.createDataFrame([("m", "a", 0), ("m", "b", 1), ("n", "b", 0), ("n", "a", 1), ("a", "é", 0), ("q", "", 0), ("q", "", 0), ("x", "y", 0), ("y", "x", 0)], "child string, parent string, ord int")
+    roots = spark.createDataFrame([("m",), ("m",), ("q",), ("lone",), ("x",)], "node string")
+    assert rows_of(dag.ancestors(edges, roots)) == sorted([("m", "m", 0), ("m", "a", 1), ("m", "b", 1), ("m", "é", 2), ("q", "q", 0), ("q", "", 1), ("lone", "lone", 0), ("x", "x", 0), ("x", "y", 1)])
+    assert dag.ancestors(edges, spark.createDataFrame([(None,)], "node string")).collect() == [(None, None, 0)]
