@@ -5,8 +5,8 @@ with a bound, or pointers that are doubled. Closures over all parents go by
 frontier: a round joins the newest nodes with the edges and drops those seen, so
 diamonds cost each node once. A graph of at most ``BROADCAST_EDGES`` edges is
 broadcast instead, and each root is walked where it is; the results are the same.
-Ancestors of each of many roots in larger graphs are walked over files of the
-graph on the executors (``packed``), which no round of joins is spent on.
+Ancestors of each of many roots, and merge bases, of larger graphs are walked over
+files of the graph on the executors (``packed``), which no round of joins is spent on.
 """
 
 from __future__ import annotations
@@ -168,32 +168,26 @@ def first_parents(edges: DataFrame, tip, limit: int = 1000) -> DataFrame:
 
 
 def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(ours, theirs, node, ours_depth, theirs_depth): the nearest common ancestor of each pair (ours, theirs); of several, the least name. Pairs without one have no row.
-
-    Both sides are walked a few layers at a time. What is found from layer d on is
-    farther than d, so a pair whose best is at d or nearer is settled, and its
-    walks end there.
-    """
+    """(ours, theirs, node, ours_depth, theirs_depth): the nearest common ancestor of each pair (ours, theirs); of several, the least name. Pairs without one have no row."""
     if (small := _parents(edges)) is not None:
         return _small_bases(edges.sparkSession.sparkContext.broadcast(small), pairs)
-    scratch, keys = Scratch(edges.sparkSession, "bases"), ["ours", "theirs", "own", "node"]
-    strides = _strides(edges, scratch)
-    sides = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("ours").alias("node")), F.struct(F.lit(False).alias("own"), F.col("theirs").alias("node"))))
-    layer, n = scratch.counted(pairs.select("ours", "theirs", sides.alias("s")).select("ours", "theirs", "s.own", "s.node").distinct().withColumn("depth", F.lit(0)), "layer")
-    seen, depth = layer, 0
+    return _packed_bases(edges, pairs.select("ours", "theirs"))
+
+
+def _packed_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    scratch, kind = Scratch(edges.sparkSession, "bases"), dict(edges.dtypes)["child"]
+    pairs = scratch.save(pairs, "tips")
+    graph = Packed(edges, pairs.select(F.col("ours").alias("node")).unionByName(pairs.select(F.col("theirs").alias("node"))), scratch)
+    opened = graph.opened()
+
+    def run(batches):
+        names = opened.names()
+        for batch in batches:
+            if found := list(opened.bases(zip(*(batch.column(c).to_pylist() for c in ("ours", "theirs")), strict=True))):
+                ours, theirs, node, *depths = (np.array(x, np.int64) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([names(ours), names(theirs), names(node), *(pa.array(x.astype(np.int32)) for x in depths)], ["ours", "theirs", "node", "ours_depth", "theirs_depth"])
 
-    def best(seen):
-        met = seen.groupBy("ours", "theirs", "node").agg(F.min(F.when(F.col("own"), F.col("depth"))).alias("ours_depth"), F.min(F.when(~F.col("own"), F.col("depth"))).alias("theirs_depth"))
-        met = met.where("ours_depth is not null and theirs_depth is not null")
-        return met.groupBy("ours", "theirs").agg(F.min(F.struct((F.col("ours_depth") + F.col("theirs_depth")).alias("far"), "node", "ours_depth", "theirs_depth")).alias("b"))
-
-    while n:
-        new, depth = _onward(layer, strides, keys).join(seen, keys, "left_anti"), depth + STRIDE
-        new, n = scratch.counted(new, "layer", f"depth = {depth}")
-        seen = seen.unionByName(new)
-        settled = scratch.save(best(seen).where(F.col("b.far") <= depth).select("ours", "theirs"), "settled") if n else None
-        layer = new.where(F.col("depth") == depth).join(settled, ["ours", "theirs"], "left_anti") if n else None
-    return best(seen).select("ours", "theirs", "b.node", "b.ours_depth", "b.theirs_depth")
+    return graph.numbered(pairs, "ours", "theirs").mapInArrow(run, f"ours {kind}, theirs {kind}, node {kind}, ours_depth int, theirs_depth int")
 
 
 def _small_bases(parents, pairs: DataFrame) -> DataFrame:

@@ -85,13 +85,14 @@ def test_deep_walks_of_large_graphs_take_few_tables(spark, monkeypatch, kind):
     rows = [(k, k - 1 if k != 2 * n else n - 1) for k in range(1, 3 * n)]
     edges = spark.createDataFrame(rows, "child long, parent long").selectExpr(f"cast(child as {kind}) child", f"cast(parent as {kind}) parent", "0 ord")
     roots = spark.createDataFrame([(3 * n - 1,), (2 * n - 1,)], "node long").selectExpr(f"cast(node as {kind}) node")
-    walk = lambda: rows_of(dag.ancestors(edges, roots))
-    small = walk()
+    pairs = roots.selectExpr("node ours", f"cast({2 * n - 1} as {kind}) theirs")
+    walks = lambda: [rows_of(x) for x in (dag.ancestors(edges, roots), dag.merge_bases(edges, pairs))]
+    small = walks()
     saved = dag.Scratch.save
     monkeypatch.setattr(dag.Scratch, "save", lambda *a, **k: tables.append(1) or saved(*a, **k))
     monkeypatch.setattr(dag, "BROADCAST_EDGES", 3)
     monkeypatch.setattr("ckptlake.operators.packed.BLOCK", 1000)
-    assert walk() == small and len(small) == 4 * n
+    assert walks() == small and len(small[0]) == 4 * n and len(small[1]) == 2
     assert len(tables) < 20
 
 
@@ -102,3 +103,5 @@ def test_walks_meet_nulls_ties_and_strangers(spark, monkeypatch, most):
     roots = spark.createDataFrame([("m",), ("m",), ("q",), ("lone",), ("x",)], "node string")
     assert rows_of(dag.ancestors(edges, roots)) == sorted([("m", "m", 0), ("m", "a", 1), ("m", "b", 1), ("m", "é", 2), ("q", "q", 0), ("q", "", 1), ("lone", "lone", 0), ("x", "x", 0), ("x", "y", 1)])
     assert dag.ancestors(edges, spark.createDataFrame([(None,)], "node string")).collect() == [(None, None, 0)]
+    pairs = spark.createDataFrame([("m", "n"), ("m", "q"), ("q", "q"), ("m", "é"), ("x", "y"), ("lone", "lone")], "ours string, theirs string")
+    assert rows_of(dag.merge_bases(edges, pairs)) == sorted([("m", "n", "a", 1, 1), ("q", "q", "q", 0, 0), ("m", "é", "é", 2, 0), ("x", "y", "x", 0, 1), ("lone", "lone", "lone", 0, 0)])
